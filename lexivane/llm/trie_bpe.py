@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,7 +246,7 @@ class Encoder:
         """The number of tokens of each text, and all ids one after the other. Null and empty texts have none."""
         counts = np.zeros(len(texts), np.int64)
         ids: list[np.ndarray] = []
-        size = np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64)
+        size = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64)
         rounds = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), ROUND_BYTES), "left")
         bounds = np.unique(np.append(rounds, len(texts)))
         bounds = np.unique(np.append(0, bounds))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import odd_sketch, packing, term_counts, trie_bpe
+from lexivane.llm import mojibake, odd_sketch, packing, term_counts, trie_bpe
 from lexivane.session import table
 
 
@@ -34,8 +34,16 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes.withColumnRenamed("n_tokens", "size"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p6_ids, p7_pack)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p6_ids, p7_pack, p8_found, p8_restored)}
 
 
 _P2 = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import mojibake, odd_sketch, packing, term_counts, trie_bpe
+from lexivane.llm import hilbert_knn, mojibake, odd_sketch, packing, term_counts, trie_bpe
 from lexivane.session import table
 
 
@@ -19,6 +19,10 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.mark_terms(table(spark, sf_dir, "vector_entries")).select("token", "n_entries", "n_records", "mark")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_knn.partner_pairs(hilbert_knn.best_partners(table(spark, sf_dir, "sparse_records")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "sparse_records")
     found = odd_sketch.near_duplicates(records, "rec_no", "content", threshold=0.6, width=3, least_words=8)
@@ -43,7 +47,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p6_ids, p7_pack, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p4_found, p6_ids, p7_pack, p8_found, p8_restored)}
 
 
 _P2 = """

@@ -146,6 +146,10 @@ def features(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mix(pair) % np.uint64(BUCKETS)).astype(np.int64), of[:-1][keep]
 
 
+def _small(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return found[0].astype(np.uint16), found[1].astype(np.int32)
+
+
 class Model:
     """Multinomial classifier over hashed byte bigrams: class 0 is clean text, the others are chains."""
 
@@ -162,12 +166,11 @@ class Model:
         self.counted = counted
         words = sorted(counted)
         derived: set[str] = set()
-        rows: list[tuple[Chain | None, np.ndarray, np.ndarray]] = [(None, *features(words))]
+        rows: list[tuple[Chain | None, np.ndarray, np.ndarray]] = [(None, *_small(features(words)))]
         for chain in chains():
             made = garble_all(words, chain)
             derived.update(g for w, g in zip(words, made) if g is not None and g != w and counted[w] > counted.get(g, sys.maxsize))
-            bucket, of = features(["" if g is None or g == w or g.isascii() else g for w, g in zip(words, made)])
-            rows.append((chain, bucket, of))
+            rows.append((chain, *_small(features(["" if g is None or g == w or g.isascii() else g for w, g in zip(words, made)]))))
         for _ in range(2):
             self._fit(words, derived, rows)
             derived.update(w for w, v in self.verdicts([w for w in words if w not in derived]).items() if v[0])

@@ -274,9 +274,15 @@ class Model:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> Model:
-    """A model fitted on the texts beyond ASCII of at most sample rows, those with the lowest hash of their key."""
-    high = df.where(F.octet_length(text) > F.length(text))
-    rows = high.select(key, text).orderBy(F.xxhash64(key), key).limit(sample).select(text).toArrow().column(0).to_pylist()
+    """A model fitted on the texts beyond ASCII of at most sample rows, those with the lowest hash of their key.
+
+    Rows are thinned out by the hash before they are ordered, to some four times sample of all rows, so that
+    what is ordered doesn't grow with df; where few texts are beyond ASCII, the sample is smaller.
+    """
+    share = min(1.0, 4.0 * sample / max(df.count(), 1))
+    h = F.xxhash64(key)
+    high = df.where((F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))) & (F.octet_length(text) > F.length(text)))
+    rows = high.select(key, text).orderBy(h, key).limit(sample).select(text).toArrow().column(0).to_pylist()
     counted: Counter[str] = Counter()
     for t in rows:
         counted.update(set(stretches(t)))

@@ -68,13 +68,14 @@ def heavy_postings(entries: DataFrame, min_share: str = "0.02", fan_in: int = 16
     lists = tree_aggregate(
         unique,
         ["batch_no", "token"],
-        {"n_entries": F.count(F.lit(1)), "best": F.max(best)},
-        {"n_entries": F.sum("n_entries"), "best": F.max("best")},
+        # named is kept as a state: a condition on the key itself would be pushed below the tree, which then ran twice
+        {"n_entries": F.count(F.lit(1)), "best": F.max(best), "named": F.max(F.col("token") != "")},
+        {"n_entries": F.sum("n_entries"), "best": F.max("best"), "named": F.max("named")},
         fan_in,
     )
     totals = lists.groupBy("batch_no").agg(F.sum("n_entries").alias("batch_entries"))
     return (
-        lists.where(F.col("token") != "")
+        lists.where("named")
         .join(totals, "batch_no")
         .where(F.col("n_entries") * share.denominator >= F.col("batch_entries") * share.numerator)
         .select("batch_no", "token", F.bitwise_not("best.low").alias("rec_no"), F.col("best.weight").alias("weight"), "n_entries", "batch_entries")

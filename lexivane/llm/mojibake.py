@@ -32,6 +32,7 @@ _STRETCH = re.compile(rf"(?<![!-~])[!-~]*+[^\x00-\x7f][^{_SPACE}]*")
 _EAST = re.compile(r"[⺀-鿿가-힯豈-﫿＀-￯]+")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
+_CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _MARK = "\ufeff"  # byte order mark
 
 
@@ -113,9 +114,10 @@ def garble_all(words: list[str], chain: Chain) -> list[str | None]:
     return [None if mark in g else g for g in text.split("\n")]
 
 
-def _reads_as_utf8(w: str) -> bool:
-    """Whether a run of signs beyond ASCII is UTF-8 as a single-byte encoding shows it. cp866 has Russian words that are."""
-    return any(invert(run, (("utf-8", r),)) is not None for run in _HIGH.findall(w) for r in READ_SINGLE if r != "cp866")
+def _reads_as_utf8(w: str, usual: set[str]) -> bool:
+    """Whether a run of signs beyond ASCII is UTF-8, of usual signs, as a single-byte encoding shows it."""
+    backs = (invert(run, (("utf-8", r),)) for run in _HIGH.findall(w) for r in READ_SINGLE)
+    return any(back is not None and usual.issuperset(back) for back in backs)
 
 
 def stretches(text: str) -> list[str]:
@@ -158,18 +160,24 @@ class Model:
 
         The labelled rows are made of it: each stretch as it is, and garbled by each chain. Part of the sample is garbled
         already and is left out: what decodes strictly as UTF-8 read in a single-byte encoding, what is the
-        result of a chain on a stretch that more documents hold, and, in a second fit, what the first one finds.
+        result of a chain on a stretch (of three signs or more) that more documents hold, and, in a second fit, what the first one finds.
         """
         self.chains: list[Chain | None] = [None]
         self.plain = 0.0
-        counted = Counter({w: n for w, n in counted.items() if "�" not in w and not _reads_as_utf8(w)})
+        self.sampled = counted
+        signs: Counter[str] = Counter()
+        for w, n in counted.items():
+            for ch in set(w):
+                signs[ch] += n
+        usual = {ch for ch, n in signs.items() if n >= 3}
+        counted = Counter({w: n for w, n in counted.items() if "�" not in w and not _reads_as_utf8(w, usual)})
         self.counted = counted
         words = sorted(counted)
         derived: set[str] = set()
         rows: list[tuple[Chain | None, np.ndarray, np.ndarray]] = [(None, *_small(features(words)))]
         for chain in chains():
             made = garble_all(words, chain)
-            derived.update(g for w, g in zip(words, made) if g is not None and g != w and counted[w] > counted.get(g, sys.maxsize))
+            derived.update(g for w, g in zip(words, made) if g is not None and len(g) > 2 and g != w and counted[w] > counted.get(g, sys.maxsize))
             rows.append((chain, *_small(features(["" if g is None or g == w or g.isascii() else g for w, g in zip(words, made)]))))
         for _ in range(2):
             self._fit(words, derived, rows)
@@ -208,13 +216,14 @@ class Model:
 
     def verdicts(self, words: list[str], tries: int = 8, margin: float = 6.0) -> dict[str, tuple[int, str | None, str]]:
         """For each word: whether it is garbled (2: surely, 1: if its text has another such word, 0: not), its original
-        (None if it can't be told) and the chain's name. 1 is for single-byte encodings and a word without a letter beyond
-        ASCII: a dash, a currency sign or a hard space within a word may be meant.
+        (None if it can't be told) and the chain's name. 1 is for single-byte encodings and a word of
+        one or two letters, which may be a word of another language, or without a letter beyond ASCII: a dash, a
+        currency sign or a hard space within a word may be meant.
 
         The chains that explain a word better than clean text does are tried from the likeliest on. A chain holds if its
         inverse decodes strictly, over the whole word or over each run of signs beyond ASCII that it
         decodes, and gives text that is likelier as clean text, and as likely as known words are. Words with the
-        replacement sign are garbled for good.
+        replacement sign, or with controls from 80 to 9F besides the line end 85, are garbled whatever the chain.
         """
         out: dict[str, tuple[int, str | None, str]] = {}
         if not words:
@@ -257,19 +266,20 @@ class Model:
                 else:
                     gain, sure = total[j] - score[i, 0], mean[j] >= self.plain and mean[j] > own[i] + 1.0
                 if unicode:
-                    sure = sure or self.signs.issuperset(ch for ch in back if ch > "\x7f")
+                    sure = sure or self.signs.issuperset(ch for ch in texts[j] if ch > "\x7f")
                 else:  # most bytes can be read so: what comes out must be known text
                     sure = sure and not unseen[j] and not _MIXED.search(back)
-                n = self.counted.get(words[i], 0)
-                if n >= 5 and self.counted.get(back, 0) < n:  # a usual word, and more usual than what it would come from
+                n = self.sampled.get(words[i], 0)
+                if not unicode and n >= 5 and self.sampled.get(back, 0) < n:  # a usual word, more so than what it would come from
                     continue
                 if sure and gain > margin and (i not in best or gain > best[i][0]):
                     best[i] = (gain, back, c)
             for i, (_, back, c) in best.items():
-                maybe = self.chains[c][0][0] != "utf-8" and not any(ch > "\x7f" and ch.isalpha() for ch in words[i])
-                out[words[i]] = (1 if maybe else 2, back, "+".join(f"{w}>{r}" for w, r in self.chains[c]))
+                letters = [ch for ch in words[i] if ch.isalpha()]
+                maybe = self.chains[c][0][0] != "utf-8" and (len(letters) < 3 or max(letters) < "\x80")
+                out[words[i]] = (1 if maybe and not _CONTROL.search(words[i]) else 2, back, "+".join(f"{w}>{r}" for w, r in self.chains[c]))
         for w in words:
-            out.setdefault(w, (0, None, ""))
+            out.setdefault(w, (2, None, "control") if _CONTROL.search(w) else (0, None, ""))
         return out
 
 

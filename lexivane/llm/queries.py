@@ -61,8 +61,23 @@ from counted
 """
 
 
+_P4 = """
+with words as (
+  select rec_no, regexp_extract_all(lower(content), '[a-z0-9]+') w from sparse_records where content is not null
+), grams as (
+  select distinct rec_no, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) g from words where len(w) >= 8
+), sizes as (
+  select rec_no, count(*) n from grams group by rec_no
+), common as (
+  select a.rec_no rec_a, b.rec_no rec_b, count(*) n from grams a join grams b on a.g = b.g and a.rec_no < b.rec_no group by all
+)
+select rec_a, rec_b from common c join sizes a on a.rec_no = rec_a join sizes b on b.rec_no = rec_b where c.n * 10 >= 6 * (a.n + b.n - c.n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"select * from ({_P2.format(cols='')}) where mark is not null",
         "p2_counts": _P2.format(cols="n_entries, n_records,"),
+        "p4_found": _P4,
     }

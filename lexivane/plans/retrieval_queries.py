@@ -329,12 +329,40 @@ def candidate_topk(d: Data) -> DataFrame:
     return search.candidate_topk(d.queries, d.postings, d.forward, K, CUT)
 
 
-@query()
+def _skip_sql(first_sorted: bool, k: int = 3, factor: float = HEAP_FACTOR) -> str:
+    """The fold over a query's blocks; a state has the form of a block: est, n (skipped so far), docs (the heap)."""
+    place = "case when list_rank = 1 then -est else 0 end" if first_sorted else "0"
+    return f""", visits as (
+  select query_id, list_rank, component, block, coalesce(est, 0) est
+  from (select distinct query_id, list_rank, component, block from qcut join fixed_blocks using (component)) v
+  left join (select v.query_id, s.component, s.block, sum(q.qw * (low + code * step)) est
+    from (select distinct query_id, component, block from qcut join fixed_blocks using (component)) v
+    join codes s using (component, block) join q on q.query_id = v.query_id and q.component = s.c group by all) e using (query_id, component, block)
+), inside as (
+  select query_id, component, block, rec_no from visits join fixed_blocks using (component, block)
+), inside_scores as (
+  select query_id, rec_no, sum(qw * w) score from (select distinct query_id, rec_no from inside) join q using (query_id) join fwd using (rec_no, component) group by all
+), docs as (
+  select query_id, component, block, list({{'s': -score, 'r': rec_no}}) docs from inside join inside_scores using (query_id, rec_no) group by all
+), folded as (
+  select query_id, list_reduce(
+    list({{'est': est, 'n': 0::bigint, 'docs': docs}} order by list_rank, {place}, block),
+    lambda a, x: case when len(a.docs) >= {k} and x.est < {factor}::double * -(a.docs[{k}].s)
+      then {{'est': 0::double, 'n': a.n + 1, 'docs': a.docs}}
+      else {{'est': 0::double, 'n': a.n, 'docs': list_slice(list_sort(list_distinct(list_concat(a.docs, x.docs))), 1, {k})}} end,
+    {{'est': 0::double, 'n': 0::bigint, 'docs': []}}) state
+  from visits join docs using (query_id, component, block) group by query_id
+)
+select query_id, h.r rec_no, -h.s score, cast(rank as integer) rank, cast(n as integer) n_skipped
+from (select query_id, state.n n, unnest(state.docs) h, generate_subscripts(state.docs, 1) rank from folded)"""
+
+
+@query(_skip_sql(True))
 def skip_topk_sorted(d: Data) -> DataFrame:
     return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.forward, 3, CUT, HEAP_FACTOR, True)
 
 
-@query()
+@query(_skip_sql(False))
 def skip_topk_unsorted(d: Data) -> DataFrame:
     return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.forward, 3, CUT, HEAP_FACTOR, False)
 

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def term_counts(entries: DataFrame, salts: int = 32) -> DataFrame:
+def term_counts(entries: DataFrame, salts: int | None = None) -> DataFrame:
     """token, n_entries, n_records of every token of entries (entry_id, rec_no, token; other columns are ignored).
 
     Entries are hash-partitioned by token and a salt of the record, and ordered by record and entry. A counter of a
     term then only needs the record and the entry it saw last: another record adds a record and an entry, another
     entry an entry, a repeated row nothing. No set of records is held. A salt has records of its own, so
     the counters of a token's salts add up; a token with a third of all rows is spread over as many tasks.
+    salts: twice the session's shuffle partitions, if not given, so that the parts of one token reach every task.
     Null and empty tokens are terms here; a null record counts in n_entries only; null entry_ids of a record are one entry.
     """
+    salts = salts or 2 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = entries.select("token", "rec_no", "entry_id", F.pmod(F.xxhash64("rec_no"), F.lit(salts)).cast("int").alias("salt"))
     w = Window.partitionBy("token", "salt").orderBy("rec_no", "entry_id")
     seen = salted.select(
@@ -38,7 +40,7 @@ def term_counts(entries: DataFrame, salts: int = 32) -> DataFrame:
     )
 
 
-def mark_terms(entries: DataFrame, rare_at_most: int = 2, common_above: str = "0.25", salts: int = 32) -> DataFrame:
+def mark_terms(entries: DataFrame, rare_at_most: int = 2, common_above: str = "0.25", salts: int | None = None) -> DataFrame:
     """term_counts with mark: rare, common or null, and the number of all records.
 
     rare: in at most rare_at_most records; common: in more than the share common_above of all distinct records of

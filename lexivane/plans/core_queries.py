@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexivane.operators import tree, validate
-from lexivane.session import table
+from lexivane.session import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +15,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.failed_lines(table(spark, sf_dir, "raw_lines"))
+    return validate.failed_lines(spread(table(spark, sf_dir, "raw_lines")))
 
 
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.loaded_lines(table(spark, sf_dir, "raw_lines"))
+    return validate.loaded_lines(spread(table(spark, sf_dir, "raw_lines")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivane.functions import quantise
 from lexivane.operators import blocks, knn, metrics, prune, search, summaries, tuning, vectors
-from lexivane.session import table
+from lexivane.session import spread, table
 
 #: Knobs of the registered queries: small enough for every branch (full lists, dissolved clusters, skipped blocks) to occur.
 N_POSTINGS, MAX_FRACTION, ALPHA, BLOCK_SIZE = 12, 1.5, 0.3, 4
@@ -205,7 +205,7 @@ def query_cut(d: Data) -> DataFrame:
   from (select query_id, rec_no, sum(qw * w) score from q join fwd using (component) group by all)) where rank <= {K}"""
 )
 def exact_topk(d: Data) -> DataFrame:
-    return search.exact_topk(d.records, d.raw_queries, K)
+    return search.exact_topk(spread(d.records), d.raw_queries, K)
 
 
 @query("select rec_no, component, w, pos from post")
@@ -434,7 +434,7 @@ from (select query_id, rec_no from (
 left join cand_top r on r.query_id = t.query_id and r.rec_no = t.rec_no"""
 )
 def recall_at_k(d: Data) -> DataFrame:
-    truth = search.exact_topk(d.records, d.raw_queries, K).withColumnRenamed("rec_no", "doc_id")
+    truth = search.exact_topk(spread(d.records), d.raw_queries, K).withColumnRenamed("rec_no", "doc_id")
     run = search.candidate_topk(d.queries, d.postings, d.forward, K, CUT).withColumnRenamed("rec_no", "doc_id")
     return metrics.accuracy_at_k(run, truth, K)
 

@@ -43,3 +43,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """scan (of files) in at least as many partitions as there are cores: one small file would else keep a single core busy.
+
+    An input with fewer partitions than cores is small by its nature, so what is shuffled here doesn't grow with the data.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane.llm import hilbert_knn, mojibake, odd_sketch, packing, term_counts, trie_bpe
-from lexivane.session import table
+from lexivane.session import spread, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,30 +20,30 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert_knn.partner_pairs(hilbert_knn.best_partners(table(spark, sf_dir, "sparse_records")))
+    return hilbert_knn.partner_pairs(hilbert_knn.best_partners(spread(table(spark, sf_dir, "sparse_records"))))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "sparse_records")
+    records = spread(table(spark, sf_dir, "sparse_records"))
     found = odd_sketch.near_duplicates(records, "rec_no", "content", threshold=0.6, width=3, least_words=8)
     return odd_sketch.record_pairs(*found, "rec_no")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_bpe.encode_texts(table(spark, sf_dir, "documents"))
+    return trie_bpe.encode_texts(spread(table(spark, sf_dir, "documents")))
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = trie_bpe.encode_texts(table(spark, sf_dir, "documents"), ids=False)
+    sizes = trie_bpe.encode_texts(spread(table(spark, sf_dir, "documents")), ids=False)
     return packing.pack(sizes.withColumnRenamed("n_tokens", "size"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.garbled(table(spark, sf_dir, "documents")).select("doc_id")
+    return mojibake.garbled(spread(table(spark, sf_dir, "documents"))).select("doc_id")
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.garbled(table(spark, sf_dir, "documents"))
+    return mojibake.garbled(spread(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,18 @@ class Data:
         self.sf_dir = sf_dir
         self.records, self.raw_queries = table(spark, sf_dir, "sparse_records"), table(spark, sf_dir, "sparse_queries")
         self.run, self.qrels = table(spark, sf_dir, "run_results"), table(spark, sf_dir, "qrels")
-        self.long = vectors.entries(self.records)
-        self.tokens = vectors.token_map(self.long)
-        self.forward = vectors.encode(self.long, self.tokens)
+
+    @cached_property
+    def long(self) -> DataFrame:
+        return vectors.entries(self.records)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return vectors.token_map(self.long)
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        return vectors.encode(self.long, self.tokens)
 
     @property
     def queries(self) -> DataFrame:

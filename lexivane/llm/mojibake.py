@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import sys
 from collections import Counter
@@ -37,28 +38,33 @@ _MARK = "\ufeff"  # byte order mark
 
 
 @lru_cache(None)
-def _tables(encoding: str) -> tuple[dict[int, int], dict[int, int]]:
-    """For a single-byte encoding, code point to byte and back; a byte without a sign stands for the control of its number."""
-    to_char = {}
-    for b in range(128, 256):
+def _tables(encoding: str) -> tuple[str, object]:
+    """For a single-byte encoding, its signs by byte, and the map back; a byte without a sign stands for the control of its number."""
+    signs = []
+    for b in range(256):
         try:
-            to_char[b] = ord(bytes([b]).decode(encoding))
+            signs.append(bytes([b]).decode(encoding))
         except UnicodeDecodeError:
-            to_char[b] = b
-    to_byte = {c: b for b, c in to_char.items()}
-    return {c: to_byte.get(c, 0xFFFF) for c in {*range(128, 256), *to_byte}}, to_char
+            signs.append(chr(b))
+    return "".join(signs), codecs.charmap_build("".join(signs))
+
+
+codecs.register_error("nul", lambda e: (b"\0" * (e.end - e.start), e.end))
+
+
+_SINGLE = {*READ_SINGLE, *WESTERN, *CENTRAL, *CYRILLIC}
 
 
 def _is_single(encoding: str) -> bool:
-    return encoding in READ_SINGLE or encoding in WESTERN + CENTRAL + CYRILLIC
+    return encoding in _SINGLE
 
 
-def _encode(s: str, encoding: str) -> bytes:
-    return s.translate(_tables(encoding)[0]).encode("latin-1") if _is_single(encoding) else s.encode(encoding)
+def _encode(s: str, encoding: str, errors: str = "strict") -> bytes:
+    return codecs.charmap_encode(s, errors, _tables(encoding)[1])[0] if _is_single(encoding) else s.encode(encoding)
 
 
 def _decode(b: bytes, encoding: str) -> str:
-    return b.decode("latin-1").translate(_tables(encoding)[1]) if _is_single(encoding) else b.decode(encoding)
+    return codecs.charmap_decode(b, "strict", _tables(encoding)[0])[0] if _is_single(encoding) else b.decode(encoding)
 
 
 Chain = tuple[tuple[str, str], ...]
@@ -100,18 +106,10 @@ def garble_all(words: list[str], chain: Chain) -> list[str | None]:
             except UnicodeError:
                 out.append(None)
         return out
-    mark = "\ufffe"  # no character
     text = "\n".join(words)
     for written, read in chain:
-        if written == "utf-8":
-            raw = text.encode("utf-8")
-            text = raw.decode("latin-1").translate(_tables(read)[1])
-        else:
-            to_byte = _tables(written)[0]
-            table = {ord(c): to_byte.get(ord(c), 0xFFFF) for c in set(text) if c > "\x7f"}
-            to_char = _tables(read)[1]
-            text = text.translate({c: mark if b > 255 else to_char[b] for c, b in table.items()})
-    return [None if mark in g else g for g in text.split("\n")]
+        text = _decode(_encode(text, written, "nul"), read)
+    return [None if "\0" in g else g for g in text.split("\n")]
 
 
 def _reads_as_utf8(w: str, usual: set[str]) -> bool:
@@ -136,20 +134,19 @@ def stretches(text: str) -> list[str]:
     return [x for x in out if not x.isascii()]
 
 
+#: The bucket of each pair of bytes.
+_BUCKET_OF = (mix(np.arange(1 << 16)) % np.uint64(BUCKETS)).astype(np.uint16)
+
+
 def features(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each byte bigram of words (with a mark at both ends) that touches a byte beyond ASCII; the word it is of."""
     raw = [b"\x01" + w.encode("utf-8", "surrogatepass") + b"\x01" for w in words]
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-    of = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint16)
+    of = np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) for x in raw])
     if not len(data):
-        return np.zeros(0, np.int64), of
+        return np.zeros(0, np.uint16), of
     keep = (of[1:] == of[:-1]) & ((data[1:] > 127) | (data[:-1] > 127))
-    pair = (data[:-1] << np.uint32(8) | data[1:])[keep]
-    return (mix(pair) % np.uint64(BUCKETS)).astype(np.int64), of[:-1][keep]
-
-
-def _small(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return found[0].astype(np.uint16), found[1].astype(np.int32)
+    return _BUCKET_OF[(data[:-1] << np.uint16(8) | data[1:])[keep]], of[:-1][keep]
 
 
 class Model:
@@ -174,11 +171,11 @@ class Model:
         self.counted = counted
         words = sorted(counted)
         derived: set[str] = set()
-        rows: list[tuple[Chain | None, np.ndarray, np.ndarray]] = [(None, *_small(features(words)))]
+        rows: list[tuple[Chain | None, np.ndarray, np.ndarray]] = [(None, *features(words))]
         for chain in chains():
             made = garble_all(words, chain)
             derived.update(g for w, g in zip(words, made) if g is not None and len(g) > 2 and g != w and counted[w] > counted.get(g, sys.maxsize))
-            rows.append((chain, *_small(features(["" if g is None or g == w or g.isascii() else g for w, g in zip(words, made)]))))
+            rows.append((chain, *features(["" if g is None or g == w or g.isascii() else g for w, g in zip(words, made)])))
         for _ in range(2):
             self._fit(words, derived, rows)
             derived.update(w for w, v in self.verdicts([w for w in words if w not in derived]).items() if v[0])

@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--doc-cut", type=int, default=15)
     b.add_argument("--pruning-factor", type=float, default=0.005)
     b.add_argument("--summary-energy", type=float, default=0.5)
-    b.add_argument("--value-type", choices=["f32", "f16", "bf16", "fixedu8", "fixedu16", "dotvbyte"], default="f16")
+    b.add_argument("--value-type", choices=["f32", "f16", "bf16", "fixedu8", "fixedu16", "packed8"], default="f16")
     b.add_argument("--knn", type=int, default=0)
     b.add_argument("--knn-path")
     s = sub.add_parser("search", help="search a saved index")
@@ -68,7 +68,7 @@ def main(args: list[str] | None = None) -> None:
             rows = sources.read_inner(spark, a.input).select(F.col("ordinal").alias("rec_no"), F.explode(F.arrays_zip("components", "vals")).alias("e"))
             index = RawIndex.build(rows.select("rec_no", F.col("e.components").alias("component"), F.col("e.vals").cast("double").alias("w")), config)
         else:
-            index = (PackedIndex if a.value_type == "dotvbyte" else SparseIndex).from_file(spark, a.input, config)
+            index = (PackedIndex if a.value_type == "packed8" else SparseIndex).from_file(spark, a.input, config)
         print(f"saved {index.save(a.output)} after {time.perf_counter() - began:.1f} s")
         index.print_space_usage_byte()
         return

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Significant bits beyond the first, lowest normal exponent, largest value.
 FLOATS = {"f16": (10, -14, 65504.0), "bf16": (7, -126, 3.3895313892515355e38)}
-FIXED_BITS = {"fixedu8": 8, "fixedu16": 16, "dotvbyte": 8}
+FIXED_BITS = {"fixedu8": 8, "fixedu16": 16, "packed8": 8}
 
 
 def round_float(value: Column, kind: str) -> Column:
@@ -34,7 +34,7 @@ def fixed_code(value: Column, scale: float, kind: str) -> Column:
 
 
 def quantise(df: DataFrame, value: str, kind: str) -> DataFrame:
-    """df with value as kind (f32, f16, bf16, fixedu8, fixedu16 or dotvbyte) would hold it."""
+    """df with value as kind (f32, f16, bf16, fixedu8, fixedu16 or packed8) would hold it."""
     if kind in FIXED_BITS:
         scale = fixed_scale(df, value, kind)
         return df.withColumn(value, fixed_code(F.col(value), scale, kind) * F.lit(scale))

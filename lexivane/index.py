@@ -63,13 +63,13 @@ class RawIndex:
     def build(cls, forward: DataFrame, config: Configuration | None = None, dim: int | None = None, n_records: int | None = None, **kept) -> RawIndex:
         """Prunes, blocks, summarises, and links neighbours if the configuration says so.
 
-        The structure is built from the weights as given; fixedu8, fixedu16 and dotvbyte then only change the weights that
+        The structure is built from the weights as given; fixedu8, fixedu16 and packed8 then only change the weights that
         scores are made of, while f32, f16 and bf16 hold for both. Negative weights are refused.
         """
         config = config or Configuration()
         checked = F.when(F.col("w") < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(F.col("w"))
         forward = cut(forward.select("rec_no", F.col("component").cast("int").alias("component"), checked.cast("double").alias("w")), "forward")
-        late = config.value_type in ("fixedu8", "fixedu16", "dotvbyte")
+        late = config.value_type in ("fixedu8", "fixedu16", "packed8")
         if not late:
             forward = cut(quantise(forward, "w", config.value_type), "forward")
         dim = dim if dim is not None else (forward.agg(F.max("component")).first()[0] or -1) + 1
@@ -275,7 +275,7 @@ class PackedIndex(SparseIndex):
 
     @classmethod
     def from_records(cls, records, config=None, token_map=None, load_content=True):
-        return super().from_records(records, (config or Configuration()).with_value_type("dotvbyte"), token_map, load_content)
+        return super().from_records(records, (config or Configuration()).with_value_type("packed8"), token_map, load_content)
 
     def get(self, rec_no: int):
         raise NotImplementedError("a packed index doesn't give single vectors")

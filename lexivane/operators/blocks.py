@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivane.operators.ranking import top_by
+from lexivane.session import cut
 
 
 def block_fixed(postings: DataFrame, block_size: int) -> DataFrame:
@@ -67,7 +68,8 @@ def _best(docs: DataFrame, live: DataFrame, scores: DataFrame, last_wins: bool)
 
 
 def assign(postings: DataFrame, forward: DataFrame, cents: DataFrame, algorithm: str = "approx", doc_cut: int = 15, pruning_factor: float = 0.005) -> tuple[DataFrame, DataFrame]:
-    """First assignment of a list's records to its centroids (component, rec_no, ord), and the scores it went by.
+    """First assignment of a list's records to its centroids (component, rec_no, ord), and the scores it went by; both are written
+    once, since dissolving reads them several times.
 
     exact: whole inner products; a centroid goes to itself. inverted: whole inner products, but only with centroids found in
     one of the record's doc_cut heaviest components' centroid lists, cut to max(5, trunc(length * pruning_factor)).
@@ -75,8 +77,8 @@ def assign(postings: DataFrame, forward: DataFrame, cents: DataFrame, algorithm:
     """
     docs = postings.select("component", "rec_no")
     if algorithm == "approx":
-        scores = _scores(docs, cents, forward, doc_cut)
-        return _best(docs, cents, scores, True), scores
+        scores = cut(_scores(docs, cents, forward, doc_cut), "scores")
+        return cut(_best(docs, cents, scores, True), "assigned"), scores
     scores = _scores(docs, cents, forward, None)
     if algorithm == "inverted":
         size = F.greatest(F.lit(5), F.floor(F.col("len").cast("double") * F.lit(pruning_factor)))
@@ -86,9 +88,10 @@ def assign(postings: DataFrame, forward: DataFrame, cents: DataFrame, algorithm:
         scores = scores.join(probed, ["component", "rec_no", "ord"], "left_semi")
     elif algorithm != "exact":
         raise ValueError(f"no such algorithm: {algorithm}")
+    scores = cut(scores, "scores")
     own = cents.select("component", F.col("centroid").alias("rec_no"), F.col("ord").alias("own"))
     first = _best(docs, cents, scores, False).join(own, ["component", "rec_no"], "left")
-    return first.select("component", "rec_no", F.coalesce("own", "ord").cast("int").alias("ord")), scores
+    return cut(first.select("component", "rec_no", F.coalesce("own", "ord").cast("int").alias("ord")), "assigned"), scores
 
 
 def dissolve(postings: DataFrame, cents: DataFrame, first: DataFrame, scores: DataFrame, min_cluster_size: int = 2, last_wins: bool = True) -> DataFrame:
@@ -109,6 +112,6 @@ def number_blocks(assigned: DataFrame) -> DataFrame:
 
 
 def block_kmeans(postings: DataFrame, forward: DataFrame, centroid_fraction: float = 0.1, min_cluster_size: int = 2, algorithm: str = "approx", doc_cut: int = 15, pruning_factor: float = 0.005) -> DataFrame:
-    cents = centroids(postings, centroid_fraction)
+    cents = cut(centroids(postings, centroid_fraction), "centroids")
     first, scores = assign(postings, forward, cents, algorithm, doc_cut, pruning_factor)
     return number_blocks(dissolve(postings, cents, first, scores, min_cluster_size, algorithm == "approx"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexivane.functions import quantise
 from lexivane.operators import blocks, knn, metrics, prune, search, summaries, tuning, vectors
-from lexivane.session import spread, table
+from lexivane.session import cut, spread, table
 
 #: Knobs of the registered queries: small enough for every branch (full lists, dissolved clusters, skipped blocks) to occur.
 N_POSTINGS, MAX_FRACTION, ALPHA, BLOCK_SIZE = 12, 1.5, 0.3, 4
@@ -38,31 +38,36 @@ class Data:
     def forward(self) -> DataFrame:
         return vectors.encode(self.long, self.tokens)
 
-    @property
+    @cached_property
     def queries(self) -> DataFrame:
         return search.resolve(self.raw_queries, self.tokens)
 
-    @property
+    @cached_property
+    def stored(self) -> DataFrame:
+        """forward, written once: for plans that read it several times."""
+        return cut(self.forward, "forward")
+
+    @cached_property
     def postings(self) -> DataFrame:
-        return prune.prune_fixed(self.forward, N_POSTINGS)
+        return cut(prune.prune_fixed(self.stored, N_POSTINGS), "postings")
 
     def clusters(self, algorithm: str = "approx") -> tuple[DataFrame, DataFrame, DataFrame]:
         cents = blocks.centroids(self.postings, CENTROIDS)
-        return (cents, *blocks.assign(self.postings, self.forward, cents, algorithm, pruning_factor=0.1))
+        return (cents, *blocks.assign(self.postings, self.stored, cents, algorithm, pruning_factor=0.1))
 
-    @property
+    @cached_property
     def blocks(self) -> DataFrame:
-        return blocks.block_kmeans(self.postings, self.forward, CENTROIDS, MIN_CLUSTER)
+        return blocks.block_kmeans(self.postings, self.stored, CENTROIDS, MIN_CLUSTER)
 
-    @property
+    @cached_property
     def maxima(self) -> DataFrame:
-        return summaries.block_max(blocks.block_fixed(self.postings, BLOCK_SIZE), self.forward)
+        return summaries.block_max(blocks.block_fixed(self.postings, BLOCK_SIZE), self.stored)
 
-    @property
+    @cached_property
     def codes(self) -> DataFrame:
         return summaries.quantise_summaries(summaries.summary_energy(self.maxima, ENERGY))
 
-    @property
+    @cached_property
     def fixed_blocks(self) -> DataFrame:
         return blocks.block_fixed(self.postings, BLOCK_SIZE)
 
@@ -220,7 +225,7 @@ def exact_topk(d: Data) -> DataFrame:
 
 @query("select rec_no, component, w, pos from post")
 def prune_fixed(d: Data) -> DataFrame:
-    return d.postings
+    return prune.prune_fixed(d.forward, N_POSTINGS)
 
 
 @query(
@@ -244,7 +249,7 @@ def prune_coi(d: Data) -> DataFrame:
 
 @query("select rec_no from post where component = 7")
 def posting_docs(d: Data) -> DataFrame:
-    return d.postings.where("component = 7").select("rec_no")
+    return prune.prune_fixed(d.forward, N_POSTINGS).where("component = 7").select("rec_no")
 
 
 @query("select component, block, rec_no from fixed_blocks")
@@ -336,7 +341,7 @@ def block_estimates(d: Data) -> DataFrame:
 
 @query(f"select {_HITS} from cand_top")
 def candidate_topk(d: Data) -> DataFrame:
-    return search.candidate_topk(d.queries, d.postings, d.forward, K, CUT)
+    return search.candidate_topk(d.queries, d.postings, d.stored, K, CUT)
 
 
 def _skip_sql(first_sorted: bool, k: int = 3, factor: float = HEAP_FACTOR) -> str:
@@ -369,12 +374,12 @@ from (select query_id, state.n n, unnest(state.docs) h, generate_subscripts(stat
 
 @query(_skip_sql(True))
 def skip_topk_sorted(d: Data) -> DataFrame:
-    return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.forward, 3, CUT, HEAP_FACTOR, True)
+    return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.stored, 3, CUT, HEAP_FACTOR, True)
 
 
 @query(_skip_sql(False))
 def skip_topk_unsorted(d: Data) -> DataFrame:
-    return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.forward, 3, CUT, HEAP_FACTOR, False)
+    return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.stored, 3, CUT, HEAP_FACTOR, False)
 
 
 @query(
@@ -384,17 +389,17 @@ def skip_topk_unsorted(d: Data) -> DataFrame:
 )
 def skip_topk_factor_zero(d: Data) -> DataFrame:
     """With heap_factor 0 nothing can be skipped: the result is that of a search of all blocks."""
-    return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.forward, K, CUT, 0.0).drop("n_skipped")
+    return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.stored, K, CUT, 0.0).drop("n_skipped")
 
 
 @query("select rec_no, rank, neighbour, score from graph")
 def knn_graph(d: Data) -> DataFrame:
-    return knn.exact_graph(d.forward, d.postings, DIM)
+    return knn.exact_graph(d.stored, d.postings, DIM)
 
 
 @query("select rec_no, rank, neighbour, score from graph where rank <= 2")
 def knn_limit(d: Data) -> DataFrame:
-    return knn.limit_graph(knn.exact_graph(d.forward, d.postings, DIM), 2)
+    return knn.limit_graph(knn.exact_graph(d.stored, d.postings, DIM), 2)
 
 
 @query(
@@ -405,13 +410,13 @@ def knn_limit(d: Data) -> DataFrame:
   join q using (query_id) join fwd using (rec_no, component) group by all)) where rank <= {K}"""
 )
 def knn_refine_topk(d: Data) -> DataFrame:
-    hits = search.candidate_topk(d.queries, d.postings, d.forward, K, CUT)
-    return search.refine(hits, knn.exact_graph(d.forward, d.postings, DIM), d.queries, d.forward, K, DIM)
+    hits = search.candidate_topk(d.queries, d.postings, d.stored, K, CUT)
+    return search.refine(hits, knn.exact_graph(d.stored, d.postings, DIM), d.queries, d.stored, K, DIM)
 
 
 @query("select query_id, coalesce(id, cast(rec_no as varchar)) doc_id, score, cand_top.rank from cand_top join sparse_records using (rec_no)")
 def remap_ids(d: Data) -> DataFrame:
-    return search.remap(search.candidate_topk(d.queries, d.postings, d.forward, K, CUT), vectors.doc_map(d.records))
+    return search.remap(search.candidate_topk(d.queries, d.postings, d.stored, K, CUT), vectors.doc_map(d.records))
 
 
 @query(
@@ -420,7 +425,7 @@ def remap_ids(d: Data) -> DataFrame:
   from sparse_records) using (rec_no)"""
 )
 def doc_text_join(d: Data) -> DataFrame:
-    return search.with_text(search.candidate_topk(d.queries, d.postings, d.forward, K, CUT), vectors.doc_map(d.records))
+    return search.with_text(search.candidate_topk(d.queries, d.postings, d.stored, K, CUT), vectors.doc_map(d.records))
 
 
 @query(
@@ -432,7 +437,7 @@ def doc_text_join(d: Data) -> DataFrame:
     where content is not null) group by query_id) p join sparse_queries s on s.id = p.query_id"""
 )
 def rag_prompt(d: Data) -> DataFrame:
-    hits = search.candidate_topk(d.queries, d.postings, d.forward, K, CUT)
+    hits = search.candidate_topk(d.queries, d.postings, d.stored, K, CUT)
     return search.rag_prompts(hits, vectors.doc_map(d.records), d.raw_queries)
 
 
@@ -445,7 +450,7 @@ left join cand_top r on r.query_id = t.query_id and r.rec_no = t.rec_no"""
 )
 def recall_at_k(d: Data) -> DataFrame:
     truth = search.exact_topk(spread(d.records), d.raw_queries, K).withColumnRenamed("rec_no", "doc_id")
-    run = search.candidate_topk(d.queries, d.postings, d.forward, K, CUT).withColumnRenamed("rec_no", "doc_id")
+    run = search.candidate_topk(d.queries, d.postings, d.stored, K, CUT).withColumnRenamed("rec_no", "doc_id")
     return metrics.accuracy_at_k(run, truth, K)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexivane.functions.quantise import FIXED_BITS, fixed_code, fixed_scale, quantise, round_float
 from lexivane.operators import blocks, knn, prune, search, summaries, vectors
 from lexivane.operators.ranking import global_rank
+from lexivane.session import cut
 
 FORWARD = "rec_no long, component int, w double"
 QUERY = "query_id string, component int, qw double"
@@ -112,8 +113,8 @@ def test_hand_calculated(spark):
     docs = {0: {0: 1, 1: 2, 4: 3}, 1: {}, 2: {}, 3: {0: 1, 1: 2, 2: 3, 3: 4}}
     forward, asked = frames(spark, {r: {c: float(w) for c, w in v.items()} for r, v in docs.items()}, {"q": {0: 1.0, 1: 2.0, 2: 3.0, 3: 4.0}})
     postings = prune.prune_global(forward, 3500, 1.5, 5)
-    built = blocks.block_kmeans(postings, forward)
-    codes = summaries.quantise_summaries(summaries.summary_energy(summaries.block_max(built, forward)))
+    built = cut(blocks.block_kmeans(cut(postings, "t"), forward), "t")
+    codes = cut(summaries.quantise_summaries(summaries.summary_energy(summaries.block_max(built, forward))), "t")
     assert as_lists(
         search.skipping_topk(asked, built, codes, forward, 10, 5, 0.7)
     ) == {"q": [(3, 30.0), (0, 5.0)]}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lexivane.operators.ranking import top_by
 from lexivane.operators.summaries import block_estimates
 from lexivane.operators.vectors import entries
+from lexivane.session import cut as written
 
 def _check_k(k: int) -> None:
     if k < 1:
@@ -154,7 +155,7 @@ def skipping_topk(
     """
     _check_k(k)
     cut_queries = query_cut(queries, cut)
-    est = block_estimates(cut_queries, queries, blocks, codes)
+    est = written(block_estimates(cut_queries, queries, blocks, codes), "estimates")  # read three times
     inside = est.select("query_id", "component", "block").join(blocks, ["component", "block"])
     scores = score(inside.select("query_id", "rec_no").distinct(), queries, forward)
     hit = F.struct((-F.col("score")).alias("s"), F.col("rec_no").alias("r"))

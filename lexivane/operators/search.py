@@ -178,6 +178,7 @@ def skipping_topk(
 
 def refine(hits: DataFrame, graph: DataFrame, queries: DataFrame, forward: DataFrame, k: int = 10, n_knn: int = 10) -> DataFrame:
     """hits with the first n_knn neighbours (graph: rec_no, rank, neighbour) of each scored as well: the k best of both, one hop."""
+    hits = written(hits, "hits")  # read three times, k rows a query
     near = hits.select("query_id", "rec_no").join(graph.where(F.col("rank") <= n_knn), "rec_no").select("query_id", F.col("neighbour").alias("rec_no")).distinct()
     fresh = near.join(hits.select("query_id", "rec_no"), ["query_id", "rec_no"], "left_anti")
     both = hits.select("query_id", "rec_no", "score").unionByName(score(fresh, queries, forward))

@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", name: str = "lexivane", shuffle_partit
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small tables here, but enough work a row to use all cores
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LEXIVANE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")

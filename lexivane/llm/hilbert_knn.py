@@ -4,7 +4,9 @@ A pass deals the token space to blocks by a hash. In each block a vector is proj
 tokens' random positions weighted by their squared weights, shifted by the pass, and put in the order of a
 Hilbert curve. Vectors that share what weighs most in a block come to lie close on its curve. Each vector is compared with
 its neighbours in a window on each of its curves, what neighbours share in the block adds up over the curves of
-a pass, and the best candidates are ranked again by their whole inner products.
+a pass, and the best candidates are ranked again by their whole inner products. Where more vectors lie close together
+than windows show, as with near-copies, the best ones are reached over the lists: partners of partners
+are scored as well, until no list changes.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from lexivane.session import cut
 
 #: Tokens of a block that travel with a point: the heaviest ones; only the estimate depends on it.
 CARRIED = 3
+#: From this cosine on two vectors count as near-copies.
+NEAR = 0.8
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -195,7 +199,7 @@ def _neighbours(points: DataFrame, key: str, curves: Curves, min_score: float) -
 
 
 def _scored(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """a, b and the whole inner product of each pair, added up in double precision."""
+    """a, b, the whole inner product of each pair, added up in double precision, and whether they are near-copies."""
     va = vectors.select(F.col(key).alias("a"), F.col("tokens").alias("ta"), F.col("weights").alias("wa"))
     vb = vectors.select(F.col(key).alias("b"), F.col("tokens").alias("tb"), F.col("weights").alias("wb"))
     both = pairs.join(va, "a").join(vb, "b").select("a", "b", "ta", "wa", "tb", "wb")
@@ -209,9 +213,48 @@ def _scored(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
             (ka, rec, wa), (kb, _, wb) = sides
             _, i, j = np.intersect1d(ka, kb, return_indices=True)
             score = np.bincount(rec[i], weights=wa[i] * wb[j], minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["a", "b", "score"])
+            square = [np.bincount(r, weights=w**2, minlength=b.num_rows) for _, r, w in sides]
+            near = score >= NEAR * np.sqrt(square[0] * square[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array(near)], names=["a", "b", "score", "near"])
 
-    return both.mapInArrow(run, "a long, b long, score double")
+    return both.mapInArrow(run, "a long, b long, score double, near boolean")
+
+
+def _best(sides: DataFrame, k: int, wide: int) -> DataFrame:
+    """The k best others of each record, and near-copies up to the place wide, with their rank."""
+    ranked = sides.withColumn("rank", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "other"))).where(F.col("rank") <= wide)
+    return ranked.where(F.col("near") | (F.col("rank") <= k))
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    """own, other, score, near, fresh: a link from each to each."""
+    ends = [F.struct(F.col(x).alias("own"), F.col(y).alias("other"), "score", "near", F.lit(True).alias("fresh")) for x, y in ("ab", "ba")]
+    return pairs.select(F.explode(F.array(*ends)).alias("s")).select("s.*")
+
+
+def _climbed(scored: DataFrame, vectors: DataFrame, key: str, k: int, wide: int, min_score: float) -> DataFrame:
+    """own, other, score: the k best others of each record in scored (a, b, score, near), and over it.
+
+    A round scores each record with the partners of its partners, as far as one of the two links is new and the norms allow a
+    place in the list of either. Lists only get better, so rounds end; of a crowd, each multiplies what a record has
+    seen. Near-copies, of which norms leave few to score, are followed beyond the k best.
+    """
+    square = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w.cast("double") * w)
+    norms = cut(vectors.select(F.col(key).alias("own"), F.sqrt(square).alias("norm")), "norms")
+    lists = cut(_best(_both(scored), k, wide), "lists")
+    while lists.where("fresh").limit(1).count():
+        least = lists.groupBy("own").agg(F.coalesce(F.max(F.when(F.col("rank") == k, F.col("score"))), F.lit(min_score)).alias("least"))
+        bounds = cut(norms.join(least, "own"), "bounds")
+        on = lists.select(F.col("own").alias("via"), F.col("other").alias("to"), F.col("fresh").alias("then"))
+        steps = lists.join(on, F.col("other") == F.col("via")).where((F.col("fresh") | F.col("then")) & (F.col("own") != F.col("to")))
+        pairs = steps.select(F.least("own", "to").alias("a"), F.greatest("own", "to").alias("b")).distinct()
+        for side in "ab":
+            pairs = pairs.join(bounds.select(F.col("own").alias(side), F.col("norm").alias(f"n{side}"), F.col("least").alias(f"l{side}")), side)
+        pairs = pairs.where(F.col("na") * F.col("nb") * (1 + 1e-9) >= F.least("la", "lb")).select("a", "b")
+        held = lists.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+        found = _scored(pairs.join(held, ["a", "b"], "left_anti"), vectors, key).where(F.col("score") >= min_score)
+        lists = cut(_best(lists.drop("rank").withColumn("fresh", F.lit(False)).unionByName(_both(found)), k, wide), "lists")
+    return lists.where(F.col("rank") <= k).select("own", "other", "score")
 
 
 def best_partners(
@@ -223,7 +266,7 @@ def best_partners(
     (above 0) on count; a record without any has no row. Null and empty vectors have no list and are in none. Records with equal
     vectors are searched once, as one class, and take part in lists one by one, so copies cost a row each. Scores are exact
     inner products; lists may lack a partner that no window showed, or that the parts seen in windows put
-    behind spare * k + 1 others.
+    behind spare * k + 1 others, if it isn't a partner of their partners either.
     """
     if min_score <= 0:
         raise ValueError("min_score must be above 0")
@@ -234,7 +277,8 @@ def best_partners(
     vectors = cut(named.join(members.where(F.col(key) == F.col("rep")).select(key), key).select(key, "tokens", "weights"), "distinct")
     points = cut(_points(vectors, key, curves, _largest_norms(vectors, curves), min_score), "points")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = points.repartitionByRange(parts, "curve", "place", key).sortWithinPartitions("curve", "place", key)
+    order = ["curve", "place", F.xxhash64(key)]  # at the same place at random: neighbours by number may be alike in weight
+    ordered = points.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     seen = _neighbours(ordered, key, curves, min_score).groupBy("a", "b").agg(*[F.sum(F.when(F.col("pass") == p, F.col("part"))).alias(f"p{p}") for p in range(curves.passes)])
     estimate = seen.select("a", "b", F.greatest(*[F.coalesce(f"p{p}", F.lit(0.0)) for p in range(curves.passes)]).alias("part"))
     sides = estimate.select(F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other"), "part"), F.struct(F.col("b").alias("own"), F.col("a").alias("other"), "part"))).alias("s")).select("s.*")
@@ -243,11 +287,7 @@ def best_partners(
     scored = cut(_scored(pairs, vectors, key).where(F.col("score") >= min_score), "scores")
     # of each class: scores with other classes, and with itself where it has several members
     own = vectors.select(F.col(key).alias("own"), F.col(key).alias("other"), F.aggregate("weights", F.lit(0.0), lambda s, w: s + w.cast("double") * w).alias("score"))
-    links = (
-        scored.select(F.col("a").alias("own"), F.col("b").alias("other"), "score")
-        .unionByName(scored.select(F.col("b").alias("own"), F.col("a").alias("other"), "score"))
-        .unionByName(own.where(F.col("score") >= min_score))
-    )
+    links = _climbed(scored, vectors, key, k, spare * k, min_score).unionByName(own.where(F.col("score") >= min_score))
     # only the k + 1 lowest members of a class can be in any list
     lowest = members.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(key))).where(F.col("rank") <= k + 1)
     offered = links.join(lowest.select(F.col("rep").alias("other"), F.col(key).alias("record")), "other").select("own", "record", "score")

@@ -101,3 +101,16 @@ def test_a_very_long_vector(spark):
     rows = [(1, long, None, None, None), (2, dict(long), None, None, None), (3, {**long, "y": 1.0}, None, None, None)]
     got = {r.rec_no: [x.other for x in r.partners] for r in H.best_partners(spark.createDataFrame(rows, RECORD)).collect()}
     assert got == {1: [2, 3], 2: [1, 3], 3: [1, 2]}
+
+
+def test_a_crowd_of_near_copies(spark):
+    rng = random.Random(3)
+    base = {f"b{i}": rng.randint(32, 128) for i in range(20)}
+    vectors = {r: {t: w * rng.randint(58, 70) / 4096 for t, w in base.items()} for r in range(900)}
+    for r in range(900, 1200):
+        vectors[r] = {f"t{rng.randrange(3000)}": rng.randint(64, 192) / 64 for _ in range(6)}
+    rows = [(r, v, None, None, None) for r, v in vectors.items()]
+    got = {r.rec_no: {x.other for x in r.partners} for r in H.best_partners(spark.createDataFrame(rows, RECORD)).collect()}
+    want = exact(vectors, 5, 8.0)
+    assert sum(map(len, want.values())) >= 4500
+    assert sum(len({b for b, _ in own} & got.get(r, set())) for r, own in want.items()) >= 0.99 * sum(map(len, want.values()))

@@ -34,6 +34,7 @@ _EAST = re.compile(r"[⺀-鿿가-힯豈-﫿＀-￯]+")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
+_WITHIN = re.compile(r"[0-9A-Za-z][^\x00-\x7f]|[^\x00-\x7f][0-9A-Za-z]")
 _MARK = "\ufeff"  # byte order mark
 
 
@@ -211,11 +212,15 @@ class Model:
                 out[a:b] = np.add.reduceat(self.log[:, bucket[lo:hi]], s, axis=1).T
         return out
 
+    def told(self, w: str, back: str) -> bool:
+        """Whether the letters and digits beside its signs tell that w stands for back: sampled texts hold back, and more of them than w."""
+        return bool(_WITHIN.search(w)) and self.sampled.get(back, 0) > self.sampled.get(w, 0)
+
     def verdicts(self, words: list[str], tries: int = 8, margin: float = 6.0) -> dict[str, tuple[int, str | None, str]]:
         """For each word: whether it is garbled (2: surely, 1: if its text has another such word, 0: not), its original
         (None if it can't be told) and the chain's name. 1 is for single-byte encodings and a word of
         one or two letters, which may be a word of another language, or without a letter beyond ASCII: a dash, a
-        currency sign or a hard space within a word may be meant.
+        currency sign or a hard space within a word may be meant; unless it stands for a usual stretch (see told).
 
         The chains that explain a word better than clean text does are tried from the likeliest on. A chain holds if its
         inverse decodes strictly, over the whole word or over each run of signs beyond ASCII that it
@@ -274,7 +279,8 @@ class Model:
             for i, (_, back, c) in best.items():
                 letters = [ch for ch in words[i] if ch.isalpha()]
                 maybe = self.chains[c][0][0] != "utf-8" and (len(letters) < 3 or max(letters) < "\x80")
-                out[words[i]] = (1 if maybe and not _CONTROL.search(words[i]) else 2, back, "+".join(f"{w}>{r}" for w, r in self.chains[c]))
+                maybe = maybe and not _CONTROL.search(words[i]) and not self.told(words[i], back)
+                out[words[i]] = (1 if maybe else 2, back, "+".join(f"{w}>{r}" for w, r in self.chains[c]))
         for w in words:
             out.setdefault(w, (2, None, "control") if _CONTROL.search(w) else (0, None, ""))
         return out

@@ -260,6 +260,12 @@ def test_texts_are_restored(spark, model):
     assert got[7].n_restored == 0 and got[7].chains == ["replaced"]
 
 
+def test_a_lone_weak_stretch(spark, model):
+    rows = [(1, "at 5 " + M.garble("°C", (("cp1252", "cp437"),)) + " today"), (2, "at 5 °C today"), (3, "it costs \xa350"), (4, "a caf\xe9"), (5, "in\xa0dex")]
+    got = {r.doc_id: r.restored for r in M.garbled(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    assert got == {1: "at 5 °C today"}
+
+
 def test_fitting_on_little_or_nothing(spark):
     spec = "doc_id long, text string"
     assert M.garbled(spark.createDataFrame([], spec)).count() == 0

@@ -72,7 +72,9 @@ class RawIndex:
         late = config.value_type in ("fixedu8", "fixedu16", "packed8")
         if not late:
             forward = cut(quantise(forward, "w", config.value_type), "forward")
-        dim = dim if dim is not None else (forward.agg(F.max("component")).first()[0] or -1) + 1
+        if dim is None:
+            largest = forward.agg(F.max("component")).first()[0]
+            dim = 0 if largest is None else largest + 1
         p, b, s = config.pruning, config.blocking, config.summarization
         if p.kind == "fixed":
             postings = prune.prune_fixed(forward, p.n_postings)

@@ -85,6 +85,13 @@ def test_raw_index_and_binary_file(spark, folder):
         RawIndex.build(forward.withColumn("w", -F.col("w")), CONFIG)
 
 
+def test_an_index_of_a_single_component(spark):
+    forward = spark.createDataFrame([(1, 0, 1.0), (2, 0, 2.0)], "rec_no long, component int, w double")
+    index = RawIndex.build(forward, Configuration().with_value_type("f32"))
+    assert index.dim == 1 and index.postings.count() == 2 and index.search("q", [0], [1.0], 1, 1, 0.0) == [("q", 2.0, 2)]
+    assert RawIndex.build(forward.limit(0), Configuration()).dim == 0
+
+
 def test_packed_index(spark, folder):
     index = PackedIndex.from_records(sources.number(sources.read_records(spark, str(folder / "docs.jsonl"))), CONFIG)
     assert abs(index.search("q", ["d"], [1.0], 1, 1, 0.0)[0][1] - 4.0) < 0.02

@@ -185,24 +185,43 @@ def test_defaults_empty_and_long(spark):
     assert [(p.class_a, p.class_b) for p in pairs] == [(1, 2)] and 0.8 < pairs[0].similarity < 1
 
 
-def test_sketches_estimate_the_similarity(spark):
-    rng = random.Random(2)
-    k, bits = 96, 256
+@pytest.mark.parametrize(("size", "n"), [(25, 1500), (120, 1500), (3000, 120)])
+def test_sketches_decide(spark, size, n):
+    """At threshold 0.6 at least 99.9 % of the pairs from there on pass, and at least 90 % of the pairs below 0.3 are rejected."""
+    rng = random.Random(size)
     rows, true = [], {}
-    for i in range(200):
-        a = {rng.getrandbits(60) for _ in range(300)}
-        keep = rng.randint(150, 300)
-        b = set(list(a)[:keep]) | {rng.getrandbits(60) for _ in range(300 - keep)}
-        true[i] = len(a & b) / len(a | b)
-        rows += [(2 * i, sorted(a)), (2 * i + 1, sorted(b))]
-    got = {r.x: r.sketch for r in S.signatures(spark.createDataFrame(rows, "x long, grams array<bigint>"), "x", 32, 3, bits).collect()}
-    error = []
-    for i, j in true.items():
-        odd = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(got[2 * i], got[2 * i + 1]))
-        if j >= 0.6:
-            assert odd <= S.most_differing(0.6, k, bits)
-            error.append(1 + bits / (4 * k) * np.log(max(1 - 2 * odd / bits, 1e-3)) - j)
-    assert abs(np.mean(error)) < 0.03 and np.std(error) < 0.12
+    for i in range(n):
+        a = [rng.getrandbits(60) for _ in range(size)]
+        share = rng.choice([0.0, 0.2, 0.4, 0.75, 0.76, 0.8, 0.9])  # 0.75 of equal sets in common is a similarity of 0.6
+        keep = round(share * size)
+        b = a[:keep] + [rng.getrandbits(60) for _ in range(size - keep)]
+        true[i] = len(set(a) & set(b)) / len(set(a) | set(b))
+        rows += [(2 * i, sorted(set(a))), (2 * i + 1, sorted(set(b)))]
+    signed = {r.x: r for r in S.signatures(spark.createDataFrame(rows, "x long, grams array<bigint>"), "x", 32, 3, 512, 1024).collect()}
+    sides = [(i, j, 2 * i, 2 * i + 1) for i, j in true.items()]
+    passed = {}
+    for i, _, a, b in sides:
+        odd = int.from_bytes(bytes(signed[a].sketch), "little") ^ int.from_bytes(bytes(signed[b].sketch), "little")
+        most = S.most_differing(0.6, 512, 1024, np.array([signed[a].n + signed[b].n]), np.array([signed[a].held + signed[b].held]))
+        passed[i] = odd.bit_count() <= most[0]
+    alike, apart = [passed[i] for i, j in true.items() if j >= 0.6], [passed[i] for i, j in true.items() if j < 0.3]
+    assert len(alike) > n / 4 and len(apart) > n / 4
+    assert np.mean(alike) >= 0.999 and np.mean(apart) <= 0.1
+
+
+def test_crowded_bands_lose_no_pair(spark):
+    """Texts with half of them in common crowd the bands; their pairs then come from their rarest grams."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(30)]
+    texts = {}
+    for i in range(120):
+        base = common + [f"own{i}_{j}" for j in range(30)]
+        for _ in range(2):
+            texts[len(texts)] = " ".join(edited(rng, base, rng.randint(0, 5)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = S.near_duplicates(df, threshold=0.6, width=3, hot=4)
+    got = {tuple(r) for r in S.record_pairs(*found, "doc_id").collect()}
+    assert got == brute(texts, 3, 0, 0.6) and len(got) > 80
 
 
 # wrong decodings

@@ -23,6 +23,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_knn.partner_pairs(hilbert_knn.best_partners(spread(table(spark, sf_dir, "sparse_records"))))
 
 
+def _sampled_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All records, and the stated query set: those whose number is divisible by 50."""
+    records = spread(table(spark, sf_dir, "sparse_records"))
+    return records, records.where(F.col("rec_no") % 50 == 0)
+
+
+def p3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact lists of the query set, against all records."""
+    return hilbert_knn.exact_partners(*_sampled_records(spark, sf_dir))
+
+
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the exact lists of the query set p3's lists hold."""
+    records, wanted = _sampled_records(spark, sf_dir)
+    return hilbert_knn.recall(hilbert_knn.best_partners(records), hilbert_knn.exact_partners(records, wanted))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = spread(table(spark, sf_dir, "sparse_records"))
     found = odd_sketch.near_duplicates(records, "rec_no", "content", threshold=0.6, width=3, least_words=8)
@@ -47,7 +64,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p4_found, p6_ids, p7_pack, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_exact, p3_recall, p4_found, p6_ids, p7_pack, p8_found, p8_restored)}
 
 
 _P2 = """
@@ -61,6 +78,19 @@ from counted
 """
 
 
+_P3 = """
+with e as (
+  select rec_no, x.key token, cast(x.value as double) w from (select rec_no, unnest(map_entries(vector)) x from sparse_records) where x.value is not null
+)
+select rec_no, other, score, rank from (
+  select *, cast(row_number() over (partition by rec_no order by score desc, other) as integer) rank from (
+    select a.rec_no, b.rec_no other, sum(a.w * b.w) score from e a join e b on a.token = b.token and a.rec_no <> b.rec_no
+    where a.rec_no % 50 = 0 group by all)
+  where score >= 8.0)
+where rank <= 5
+"""
+
+
 _P4 = """
 with words as (
   select rec_no, regexp_extract_all(lower(content), '[a-z0-9]+') w from sparse_records where content is not null
@@ -79,5 +109,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"select * from ({_P2.format(cols='')}) where mark is not null",
         "p2_counts": _P2.format(cols="n_entries, n_records,"),
+        "p3_exact": _P3,
         "p4_found": _P4,
     }

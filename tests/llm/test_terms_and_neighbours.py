@@ -114,3 +114,50 @@ def test_a_crowd_of_near_copies(spark):
     want = exact(vectors, 5, 8.0)
     assert sum(map(len, want.values())) >= 4500
     assert sum(len({b for b, _ in own} & got.get(r, set())) for r, own in want.items()) >= 0.99 * sum(map(len, want.values()))
+
+
+def test_lists_do_not_depend_on_the_partitions(spark):
+    """Windows go across the borders of partitions, also of those with fewer points than a window."""
+    rng = random.Random(21)
+    rows = [(r, {f"t{rng.randrange(60)}": rng.randint(64, 192) / 64 for _ in range(6)}) for r in range(700)]
+    df = spark.createDataFrame(rows, "rec_no long, vector map<string,float>")
+    curves = H.Curves(blocks=16, window=8)
+    vectors = H.vector_classes(df, "rec_no", "vector")
+    top = H._largest_norms(vectors, curves)
+    seen = []
+    for parts in (1, 3, 40, 400):
+        bounds = H._bounds(vectors, "rec_no", curves, top, 8.0, parts)
+        assert parts == 1 or len(bounds[0]) > parts / 2
+        ordered = H._points(vectors, "rec_no", curves, top, 8.0, bounds).repartitionById(parts, "part").sortWithinPartitions("part", "spot", "rec_no")
+        lists = {}
+        for r in H._windows(ordered, curves).collect():
+            for other, part in np.frombuffer(bytes(r.shared), H.SHARED):
+                lists.setdefault(r.own, []).append((int(other), float(part)))
+        seen.append({own: sorted(x) for own, x in lists.items()})
+    assert len(seen[0]) > 500 and all(x == seen[0] for x in seen)
+
+
+def test_windows_hold_what_the_bound_promises(spark):
+    """With windows over all points no pair that reaches the score is missed before lists are cut."""
+    rng = random.Random(22)
+    vectors = {r: {f"t{rng.randrange(200)}": rng.randint(32, 192) / 64 for _ in range(12)} for r in range(100)}
+    df = spark.createDataFrame(list(vectors.items()), "rec_no long, vector map<string,float>")
+    curves = H.Curves(blocks=400, window=127, kept=1000)
+    packed = H.vector_classes(df, "rec_no", "vector")
+    points = H._points(packed, "rec_no", curves, H._largest_norms(packed, curves), 8.0)
+    pairs = H._likely(H._windows(points.repartitionById(1, "part").sortWithinPartitions("part", "spot", "rec_no"), curves), 1000)
+    want = {(a, b) for a, own in exact(vectors, 1000, 8.0).items() for b, _ in own if a < b}
+    assert want and want <= {tuple(r) for r in pairs.collect()}
+
+
+def test_exact_lists_and_recall(spark):
+    rng = random.Random(23)
+    vectors = {r: {f"t{rng.randrange(40)}": rng.randint(64, 192) / 64 for _ in range(6)} for r in range(300)}
+    df = spark.createDataFrame(list(vectors.items()), "rec_no long, vector map<string,float>")
+    lists = H.exact_partners(df, df.where("rec_no % 50 = 0"))
+    got = {}
+    for r in lists.orderBy("rec_no", "rank").collect():
+        got.setdefault(r.rec_no, []).append((r.other, r.score))
+    assert got == {r: own for r, own in exact(vectors, 5, 8.0).items() if r % 50 == 0}
+    found = H.recall(H.best_partners(df, curves=H.Curves(kept=64)), lists).first()  # 40 tokens: any two records share some
+    assert found.n_exact == sum(map(len, got.values())) and found.n_found >= 0.9 * found.n_exact

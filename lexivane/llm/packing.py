@@ -54,6 +54,10 @@ class Levels:
         return box
 
 
+#: Containers of a group are numbered below this.
+_ROOM = 1 << 24
+
+
 def _pack_groups(items: DataFrame, capacity: int, order: list, closing: bool) -> DataFrame:
     """items (grp LONG, size LONG and others) with box: each group packed for itself, its items one at a time in order.
 
@@ -70,8 +74,10 @@ def _pack_groups(items: DataFrame, capacity: int, order: list, closing: bool) ->
             for i, (group, size) in enumerate(zip(b.column(at).to_pylist(), b.column(size_at).to_pylist())):
                 if group != current:
                     levels, current, made = Levels(capacity, closing), group, 0
-                base = group << 40
+                base = group * _ROOM
                 if size:
+                    if made >= _ROOM:
+                        raise OverflowError(f"a group with more than {_ROOM} containers")
                     boxes[i] = levels.put(size, base + made)
                     made += int(boxes[i]) == base + made
                 else:
@@ -95,9 +101,12 @@ def pack(items: DataFrame, capacity: int = 2048, key: str = "doc_id", group_rows
     sum-of-squares rule. The containers that groups leave open are then packed as if each was an item, the
     largest first, in a number of groups smaller by fan_in each round, down to groups of group_rows; containers
     so full that not even the emptiest one would fit on top take no part. Only open containers, not items, are moved again.
+    A container is named by the round it was last packed in, its group and its number there, so no two rounds share a name.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
+    if not 1 <= group_rows <= _ROOM // 16:
+        raise ValueError(f"group_rows must be from 1 to {_ROOM // 16}")
     size = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long")
     items = cut(items.select(key, size.alias("whole")), "sizes")
     groups = -(-items.count() // group_rows) or 1
@@ -108,10 +117,11 @@ def pack(items: DataFrame, capacity: int = 2048, key: str = "doc_id", group_rows
     rest = rest.select(key, "piece", "size", F.pmod(turn, F.lit(groups)).alias("grp"), turn.alias("turn"))
     placed = cut(_pack_groups(rest, capacity, ["turn", key], False).drop("turn", "grp"), "placed")
 
-    moves = placed.groupBy("box").agg(F.sum("size").alias("size")).select(F.col("box").alias("first"), "box", "size")
+    # where each of the first round's containers is now: the round it was packed in last, and its number there
+    moves = placed.groupBy("box").agg(F.sum("size").alias("size")).select(F.col("box").alias("first"), F.lit(0).alias("round"), "box", "size")
     rounds = 0
     while True:
-        open_ = moves.where((F.col("size") < capacity) & (F.col("size") > 0)).select("box", "size").distinct()
+        open_ = moves.where((F.col("size") < capacity) & (F.col("size") > 0)).select("round", "box", "size").distinct()
         least = open_.agg(F.min("size").alias("least")).scalar()
         open_ = cut(open_.where(F.col("size") + least <= capacity), "open")
         n, rounds = open_.count(), rounds + 1
@@ -119,19 +129,22 @@ def pack(items: DataFrame, capacity: int = 2048, key: str = "doc_id", group_rows
         if n < 2 or (rounds > 1 and fewer >= groups):
             break
         groups = max(fewer, 1)
-        dealt = open_.select(F.col("box").alias("own"), "size", (F.lit(rounds << 20) + F.pmod(F.xxhash64("box"), F.lit(groups))).alias("grp"))
-        packed = cut(_pack_groups(dealt, capacity, [F.desc("size"), "own"], True).drop("grp"), "closed")
+        grp = F.pmod(F.xxhash64("round", "box"), F.lit(groups))
+        dealt = open_.select(F.col("round").alias("own_round"), F.col("box").alias("own"), "size", grp.alias("grp"))
+        packed = cut(_pack_groups(dealt, capacity, [F.desc("size"), "own_round", "own"], True).drop("grp"), "closed")
         sums = packed.groupBy("box").agg(F.sum("size").alias("total"))
-        step = packed.join(sums, "box").select("own", F.col("box").alias("next"), "total")
+        step = packed.join(sums, "box").select("own_round", "own", F.col("box").alias("next"), "total")
         moves = cut(
-            moves.join(step, moves["box"] == step["own"], "left").select(
-                "first", F.coalesce("next", "box").alias("box"), F.coalesce("total", "size").alias("size")
+            moves.join(step, (moves["box"] == step["own"]) & (moves["round"] == step["own_round"]), "left").select(
+                "first",
+                F.when(F.col("next").isNull(), F.col("round")).otherwise(F.lit(rounds)).alias("round"),
+                F.coalesce("next", "box").alias("box"),
+                F.coalesce("total", "size").alias("size"),
             ),
             "moves",
         )
-    rests = placed.join(moves.select(F.col("first").alias("box"), F.col("box").alias("last")), "box").select(
-        key, "piece", "size", F.concat(F.lit("c"), F.col("last")).alias("container")
-    )
+    name = F.concat_ws("-", F.concat(F.lit("c"), F.col("round")), F.col("last"))
+    rests = placed.join(moves.select(F.col("first").alias("box"), "round", F.col("box").alias("last")), "box").select(key, "piece", "size", name.alias("container"))
     wholes = (
         pieces.where(F.col("piece") > 0)
         .select(key, F.explode(F.sequence(F.lit(0), F.col("piece") - 1)).alias("piece"))

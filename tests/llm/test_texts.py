@@ -106,6 +106,17 @@ def test_few_items(spark):
         packed(spark, [1], capacity=0)
 
 
+def test_containers_of_different_rounds_do_not_meet(spark):
+    """Also where a round has more groups than numbers of rounds and groups in one would leave room for: containers stay within capacity."""
+    sizes = [31 + i % 30 for i in range(400)]
+    for group_rows, fan_in in ((1, 2), (4, 2), (16, 8)):
+        rows = packed(spark, sizes, capacity=100, group_rows=group_rows, fan_in=fan_in)
+        check(rows, sizes, 100)
+        assert len({r.container.split("-")[0] for r in rows}) > 1  # some were packed in a later round
+    big = spark.createDataFrame([(2**38, 5, "a"), (2**38, 7, "b"), (2**38 + 1, 5, "c")], "grp long, size long, k string")
+    assert {r.k: r.box for r in P._pack_groups(big, 10, ["k"], False).collect()} == {"a": 2**62, "b": 2**62 + 1, "c": 2**62 + 2**24}
+
+
 def test_the_level_with_the_least_change_is_taken():
     rng = np.random.default_rng(5)
     levels = P.Levels(40)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivane.operators.ranking import top_by
-from lexivane.session import cut
+from lexivane.functions.packed import Vectors, pack
 
 
 def block_fixed(postings: DataFrame, block_size: int) -> DataFrame:
@@ -24,85 +25,90 @@ def sample_order() -> Column:
 
 
 def centroids(postings: DataFrame, centroid_fraction: float) -> DataFrame:
-    """component, centroid (a record), ord (from 1 on): max(1, trunc(centroid_fraction * length)) of each list."""
+    """component, centroid (a record), ord (from 1 on): max(1, trunc(centroid_fraction * length)) of each list, multiplied as FLOAT."""
     length = F.count(F.lit(1)).over(Window.partitionBy("component"))
     ord_ = F.row_number().over(Window.partitionBy("component").orderBy("h", "rec_no"))
     ranked = postings.select("component", "rec_no", sample_order().alias("h"), length.alias("len")).withColumn("ord", ord_)
-    wanted = F.greatest(F.lit(1), F.floor(F.col("len").cast("double") * F.lit(centroid_fraction)))
+    wanted = F.greatest(F.lit(1), F.floor((F.col("len").cast("float") * F.lit(centroid_fraction).cast("float")).cast("float")))
     return ranked.where(F.col("ord") <= wanted).select("component", F.col("rec_no").alias("centroid"), "ord")
 
 
-def _scores(docs: DataFrame, cents: DataFrame, forward: DataFrame, doc_cut: int | None, list_cut: DataFrame | None = None) -> DataFrame:
-    """component, rec_no, ord, score: inner products of the records of a list with its centroids, where they share a component."""
-    doc_side = forward if doc_cut is None else top_by(forward, ["rec_no"], [F.desc("w"), "component"], doc_cut, "cut").drop("cut")
-    left = docs.join(doc_side.select("rec_no", F.col("component").alias("c"), "w"), "rec_no")
-    right = list_cut if list_cut is not None else centroid_entries(cents, forward)
-    return (
-        left.join(right, ["component", "c"])
-        .groupBy("component", "rec_no", "ord")
-        .agg(F.sum(F.col("w") * F.col("cw")).alias("score"))
-    )
-
-
-def centroid_entries(cents: DataFrame, forward: DataFrame) -> DataFrame:
-    """component, ord, c, cw: the whole vectors of the centroids of each list."""
-    return cents.join(forward.select(F.col("rec_no").alias("centroid"), F.col("component").alias("c"), F.col("w").alias("cw")), "centroid").select("component", "ord", "c", "cw")
-
-
-def _best(docs: DataFrame, live: DataFrame, scores: DataFrame, last_wins: bool) -> DataFrame:
-    """component, rec_no, ord: the live centroid with the highest score; without one, the default.
-
-    last_wins: among equals, and if all scores are 0, the last centroid in sample order (the approximate variant);
-    otherwise only scores above 0 count, the first among equals, and the first centroid is the default.
-    """
-    order = F.struct("score", "ord") if last_wins else F.struct(F.col("score"), -F.col("ord"))
-    found = scores.join(live.select("component", "ord"), ["component", "ord"]).where("score > 0")
-    best = found.groupBy("component", "rec_no").agg(F.max_by("ord", order).alias("ord"))
-    default = live.groupBy("component").agg(F.max("ord").alias("other")) if last_wins else live.select("component").distinct().withColumn("other", F.lit(1))
-    return (
-        docs.select("component", "rec_no")
-        .join(best, ["component", "rec_no"], "left")
-        .join(default, "component", "left")
-        .select("component", "rec_no", F.coalesce("ord", "other", F.lit(1)).cast("int").alias("ord"))
-    )
-
-
-def assign(postings: DataFrame, forward: DataFrame, cents: DataFrame, algorithm: str = "approx", doc_cut: int = 15, pruning_factor: float = 0.005) -> tuple[DataFrame, DataFrame]:
-    """First assignment of a list's records to its centroids (component, rec_no, ord), and the scores it went by; both are written
-    once, since dissolving reads them several times.
+def clusters(
+    postings: DataFrame,
+    forward: DataFrame,
+    cents: DataFrame,
+    algorithm: str = "approx",
+    min_cluster_size: int = 2,
+    doc_cut: int = 15,
+    pruning_factor: float = 0.005,
+    keep_dissolved: bool = False,
+) -> DataFrame:
+    """component, rec_no, first, ord: the centroid each record of a list goes to at first, and after small clusters are dissolved.
 
     exact: whole inner products; a centroid goes to itself. inverted: whole inner products, but only with centroids found in
-    one of the record's doc_cut heaviest components' centroid lists, cut to max(5, trunc(length * pruning_factor)).
-    approx: inner products of the doc_cut heaviest components with whole centroids.
+    one of the record's doc_cut heaviest components' centroid lists, cut to max(5, trunc(length * pruning_factor)); a centroid goes to itself.
+    approx: inner products of the doc_cut heaviest components with whole centroids. Only scores above 0 count. Among equals the first
+    centroid is taken, which is the default too; in approx the last one.
+    The records of clusters with at most min_cluster_size of them then go to the best of the other centroids, those without
+    any record included, or with keep_dissolved to the best of all centroids; with none left, to the first one.
+    A pruned list is bounded, so one task clusters it as a whole, in matrices of a bounded number of cells.
     """
-    docs = postings.select("component", "rec_no")
-    if algorithm == "approx":
-        scores = cut(_scores(docs, cents, forward, doc_cut), "scores")
-        return cut(_best(docs, cents, scores, True), "assigned"), scores
-    scores = _scores(docs, cents, forward, None)
-    if algorithm == "inverted":
-        size = F.greatest(F.lit(5), F.floor(F.col("len").cast("double") * F.lit(pruning_factor)))
-        lens = docs.groupBy("component").agg(F.count(F.lit(1)).alias("len"))
-        lists = top_by(centroid_entries(cents, forward).join(lens, "component"), ["component", "c"], [F.desc("cw"), "ord"], size, "cut").drop("cut", "len")
-        probed = _scores(docs, cents, forward, doc_cut, lists).select("component", "rec_no", "ord")
-        scores = scores.join(probed, ["component", "rec_no", "ord"], "left_semi")
-    elif algorithm != "exact":
+    if algorithm not in ("approx", "inverted", "exact"):
         raise ValueError(f"no such algorithm: {algorithm}")
-    scores = cut(scores, "scores")
-    own = cents.select("component", F.col("centroid").alias("rec_no"), F.col("ord").alias("own"))
-    first = _best(docs, cents, scores, False).join(own, ["component", "rec_no"], "left")
-    return cut(first.select("component", "rec_no", F.coalesce("own", "ord").cast("int").alias("ord")), "assigned"), scores
-
-
-def dissolve(postings: DataFrame, cents: DataFrame, first: DataFrame, scores: DataFrame, min_cluster_size: int = 2, last_wins: bool = True) -> DataFrame:
-    """component, rec_no, ord: first, but the records of clusters with at most min_cluster_size of them go to the best of the
-    other centroids. Centroids without any record of their own stay eligible. With no centroid left, the first one takes all."""
-    sizes = first.groupBy("component", "ord").agg(F.count(F.lit(1)).alias("n"))
-    gone = sizes.where(F.col("n") <= min_cluster_size).select("component", "ord")
-    kept = first.join(gone, ["component", "ord"], "left_anti")
-    moving = first.join(gone, ["component", "ord"], "left_semi")
-    live = cents.select("component", "ord").join(gone, ["component", "ord"], "left_anti")
-    return kept.select("component", "rec_no", "ord").unionByName(_best(moving, live, scores.join(moving.select("component", "rec_no"), ["component", "rec_no"], "left_semi"), last_wins))
+    last_wins = algorithm == "approx"
+    inside = postings.select("component", "rec_no").join(pack(forward, "rec_no"), "rec_no")
+    marked = inside.join(cents.select("component", F.col("centroid").alias("rec_no"), F.col("ord").cast("int").alias("ord")), ["component", "rec_no"], "left")
+
+    def chosen(score: np.ndarray, live: np.ndarray, default: int) -> np.ndarray:
+        """Of each row the best live column, from 0 on."""
+        held = np.where(live[None, :], score, 0.0)
+        best = held.shape[1] - 1 - held[:, ::-1].argmax(1) if last_wins else held.argmax(1)
+        return np.where(held[np.arange(len(held)), best] > 0, best, default)
+
+    def run(table: pa.Table) -> pa.Table:
+        ord_ = table["ord"].to_numpy(zero_copy_only=False)
+        whole = Vectors.of(table)
+        center = np.flatnonzero(~np.isnan(ord_.astype(np.float64)))
+        center = center[np.argsort(ord_[center])]
+        middle = whole.take(center)
+        n = len(center)
+        docs = whole.heaviest(doc_cut) if last_wins else whole
+        probe: Vectors | None = None
+        if algorithm == "inverted":
+            limit = max(5, int(np.float32(len(whole)) * np.float32(pruning_factor)))
+            of = middle.rows()
+            order = np.lexsort((of, -middle.values, middle.components))
+            place = np.arange(len(of)) - np.searchsorted(middle.components[order], middle.components[order])
+            keep = np.sort(order[place < limit])
+            probe = Vectors(np.append(0, np.cumsum(np.bincount(of[keep], minlength=n))), middle.components[keep], middle.values[keep])
+
+        def best(rows: np.ndarray, live: np.ndarray, default: int) -> np.ndarray:
+            out = np.zeros(len(rows), np.int64)
+            mine = docs.take(rows)
+            light = mine.heaviest(doc_cut)
+            for part, score in mine.products(middle):
+                if probe is not None:
+                    some = light.take(np.arange(part.start, part.stop))
+                    score = np.where(np.concatenate([t for _, t in some.touches(probe)]), score, 0.0)
+                out[part] = chosen(score, live, default)
+            return out
+
+        every = np.ones(n, bool)
+        first = best(np.arange(len(whole)), every, n - 1 if last_wins else 0)
+        if not last_wins:
+            first[center] = np.arange(n)
+        size = np.bincount(first, minlength=n)
+        gone = (size <= min_cluster_size) & (size > 0)
+        moving = np.flatnonzero(gone[first])
+        final = first.copy()
+        live = every if keep_dissolved else ~gone
+        if len(moving):
+            default = (int(np.flatnonzero(live)[-1]) if live.any() else 0) if last_wins else 0
+            final[moving] = best(moving, live, default)
+        ids = {"component": table["component"], "rec_no": table["rec_no"]}
+        return pa.table({**ids, "first": (first + 1).astype(np.int32), "ord": (final + 1).astype(np.int32)})
+
+    return marked.groupBy("component").applyInArrow(run, "component int, rec_no long, first int, ord int")
 
 
 def number_blocks(assigned: DataFrame) -> DataFrame:
@@ -111,7 +117,8 @@ def number_blocks(assigned: DataFrame) -> DataFrame:
     return assigned.select("component", block.cast("int").alias("block"), "rec_no")
 
 
-def block_kmeans(postings: DataFrame, forward: DataFrame, centroid_fraction: float = 0.1, min_cluster_size: int = 2, algorithm: str = "approx", doc_cut: int = 15, pruning_factor: float = 0.005) -> DataFrame:
-    cents = cut(centroids(postings, centroid_fraction), "centroids")
-    first, scores = assign(postings, forward, cents, algorithm, doc_cut, pruning_factor)
-    return number_blocks(dissolve(postings, cents, first, scores, min_cluster_size, algorithm == "approx"))
+def block_kmeans(
+    postings: DataFrame, forward: DataFrame, centroid_fraction: float = 0.1, min_cluster_size: int = 2, algorithm: str = "approx", doc_cut: int = 15, pruning_factor: float = 0.005
+) -> DataFrame:
+    cents = centroids(postings, centroid_fraction)
+    return number_blocks(clusters(postings, forward, cents, algorithm, min_cluster_size, doc_cut, pruning_factor))

@@ -14,12 +14,13 @@ def as_queries(forward: DataFrame) -> DataFrame:
 
 
 def knn_graph(forward: DataFrame, blocks: DataFrame, codes: DataFrame, dim: int, cut: int = 10, heap_factor: float = 0.7) -> DataFrame:
-    """dim neighbours of each record by self-search, the record itself left out. A record with fewer has fewer rows."""
-    hits = search.skipping_topk(as_queries(forward), blocks, codes, forward, dim + 1, cut, heap_factor, False)
+    """dim neighbours of each record by self-search, the record itself left out: a record's own vector as the query, blocks skipped
+    by their summaries (see search.pruned_topk). A record with fewer neighbours has fewer rows."""
+    hits = search.pruned_topk(as_queries(forward), search.lists_of(blocks, forward, codes), dim + 1, cut, heap_factor, False)
     return _graph(hits, dim)
 
 
-def exact_graph(forward: DataFrame, postings: DataFrame, dim: int, cut: int = 10) -> DataFrame:
+def candidate_graph(forward: DataFrame, postings: DataFrame, dim: int, cut: int = 10) -> DataFrame:
     """As knn_graph, of all candidates of the cut heaviest components."""
     return _graph(search.candidate_topk(as_queries(forward), postings, forward, dim + 1, cut), dim)
 

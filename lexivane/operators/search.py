@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivane.functions.packed import Vectors, best_of_rows, numbers, pack, pack_maps
 from lexivane.operators.ranking import top_by
 from lexivane.operators.summaries import block_estimates
 from lexivane.operators.vectors import entries
@@ -39,108 +40,205 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return top_by(scored, ["query_id"], [F.desc("score"), "rec_no"], k).select("query_id", "rec_no", "score", "rank")
 
 
-def exact_topk(records: DataFrame, queries: DataFrame, k: int = 10, key: str = "rec_no", vector: str = "vector", query_key: str = "id", block: int = 4096) -> DataFrame:
-    """query_id, rec_no, score, rank: the k best records of each query over all records.
+def exact_topk(
+    records: DataFrame, queries: DataFrame, k: int = 10, key: str = "rec_no", vector: str = "vector", query_key: str = "id", block: int = 4096, rows: int = 1 << 15
+) -> DataFrame:
+    """query_id, rec_no, score, rank: the k best records of each query over all records, of those that share a token with it.
 
-    Queries are taken in blocks of at most block rows, each of which goes to all executors as arrays; a task adds up the products
-    of its records with a block (in slices of a bounded number of cells) and hands on the k best of each query, so that
-    neither vectors nor partial scores are shuffled. Tokens are compared by their 64-bit hashes.
+    Records are dealt to parts of about rows rows, queries to blocks of about block rows; a part meets a block in one task,
+    which multiplies them (in matrices of a bounded number of cells) and hands on the k best of each query. Nothing goes through the
+    driver but two counts, and no task holds more than a part and a block. A batch of one block reads the records
+    once. Scores may be 0 or less; tokens are compared by their 64-bit hashes. Queries with the same id are one query: the sum of their vectors.
     """
     _check_k(k)
-    long = entries(queries, query_key).select(F.col(query_key).alias("q"), F.xxhash64("token").alias("t"), "w")
-    packed = long.groupBy("q").agg(F.collect_list("t").alias("t"), F.collect_list("w").alias("w"))
-    doc = records.select(key, F.transform(F.map_keys(vector), lambda t: F.xxhash64(t)).alias("t"), F.map_values(vector).cast("array<double>").alias("w")).where(F.size("t") > 0)
-    best: DataFrame | None = None
-    batch: list = []
-    source = packed.toLocalIterator()
-    done = False
-    while not done:
-        batch = []
-        for row in source:
-            batch.append(row)
-            if len(batch) == block:
-                break
-        else:
-            done = True
-        if batch:
-            part = _score_block(doc, batch, k, key)
-            best = part if best is None else best.unionByName(part)
-    if best is None:
-        return records.sparkSession.createDataFrame([], "query_id string, rec_no long, score double, rank int")
+    docs = pack_maps(records, key, vector)
+    asked = pack_maps(queries.withColumnRenamed(query_key, "query_id"), "query_id", vector)
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((records, rows), (queries, block)))
+
+    def dealt(df: DataFrame, name: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        mine = F.pmod(F.xxhash64(name), F.lit(own[1])).cast("int").alias(own[0])
+        return df.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0]))
+
+    left = dealt(docs, key, ("part", parts), ("block", blocks))
+    right = dealt(asked, "query_id", ("block", blocks), ("part", parts))
+
+    def run(_: tuple, docs: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, names = docs[key].to_numpy(), asked["query_id"]
+        d, q = Vectors.of(docs, np.int64), Vectors.of(asked, np.int64)
+        out = []
+        for (part, score), (_, shown) in zip(q.products(d), q.touches(d)):
+            row, col = best_of_rows(score, ids, k, shown)
+            out.append((row + part.start, col, score[row, col]))
+        row, col, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"query_id": names.take(pa.array(row)), "rec_no": ids[col], "score": score})
+
+    best = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, "query_id string, rec_no long, score double")
     return _ranked(best, k)
 
 
-def _score_block(doc: DataFrame, queries: list, k: int, key: str) -> DataFrame:
-    names = [r["q"] for r in queries]
-    of = np.repeat(np.arange(len(queries)), [len(r["t"]) for r in queries])
-    token = np.array([t for r in queries for t in r["t"]], np.int64)
-    weight = np.array([w for r in queries for w in r["w"]], np.float64)
-    order = np.argsort(token, kind="stable")
-    shared = doc.sparkSession.sparkContext.broadcast((names, token[order], of[order], weight[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tokens, owner, weights = shared.value
-        n = len(ids)
-        top_s, top_r = np.zeros((n, k)), np.zeros((n, k), np.int64)  # score 0: none
-        step = max(1, (1 << 22) // n)
-        for b in batches:
-            recs = b.column(0).to_numpy()
-            for a in range(0, b.num_rows, step):
-                part = b.slice(a, step)
-                lists = part.column(1)
-                start = lists.offsets.to_numpy().astype(np.int64)
-                t = lists.values.to_numpy()[start[0] : start[-1]] if lists.offset == 0 else lists.flatten().to_numpy()
-                w = part.column(2).flatten().to_numpy(zero_copy_only=False)
-                t = part.column(1).flatten().to_numpy()
-                rec = np.repeat(np.arange(part.num_rows), np.diff(start))
-                lo, hi = np.searchsorted(tokens, t, "left"), np.searchsorted(tokens, t, "right")
-                size = hi - lo
-                at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                value = np.nan_to_num(np.repeat(w, size)) * weights[at]
-                score = np.bincount(owner[at] * part.num_rows + np.repeat(rec, size), weights=value, minlength=n * part.num_rows).reshape(n, -1)
-                all_s = np.concatenate([top_s, score], axis=1)
-                all_r = np.concatenate([top_r, np.broadcast_to(recs[a : a + step], score.shape)], axis=1)
-                if all_s.shape[1] > 4 * k:  # most columns can't matter: keep what reaches the k-th score
-                    floor = -np.partition(-all_s, k - 1, axis=1)[:, k - 1 : k]
-                    q, c = np.nonzero((all_s >= floor) & (all_s > 0))
-                else:
-                    q, c = np.nonzero(all_s > 0)
-                s, r = all_s[q, c], all_r[q, c]
-                o = np.lexsort((r, -s, q))
-                q, s, r = q[o], s[o], r[o]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                keep = rank < k
-                top_s[:], top_r[:] = 0, 0
-                top_s[q[keep], rank[keep]], top_r[q[keep], rank[keep]] = s[keep], r[keep]
-        q, c = np.nonzero(top_s > 0)
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), pa.array(top_r[q, c]), pa.array(top_s[q, c])], names=["query_id", "rec_no", "score"])
-
-    return doc.mapInArrow(run, "query_id string, rec_no long, score double")
-
-
 def candidates(cut_queries: DataFrame, postings: DataFrame) -> DataFrame:
     """query_id, rec_no: the distinct records in the lists a query visits."""
     return cut_queries.select("query_id", "component").join(postings.select("component", "rec_no"), "component").select("query_id", "rec_no").distinct()
 
 
 def score(pairs: DataFrame, queries: DataFrame, forward: DataFrame) -> DataFrame:
-    """query_id, rec_no, score of each pair (query_id, rec_no), by the whole query and the whole record.
+    """query_id, rec_no, score of each pair (query_id, rec_no) that shares a component, by the whole query and the whole record.
 
-    A pair is made whole on its record's side only for the components its query has: entries of both sides meet by
-    component within a query's candidates, and products are added up before they are shuffled.
+    Both vectors come to a pair packed, one join each, and are multiplied in Arrow batches.
     """
-    return (
-        pairs.join(queries, "query_id")
-        .join(forward, ["rec_no", "component"])
-        .groupBy("query_id", "rec_no")
-        .agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    )
+    asked = pack(queries, "query_id", value="qw")
+    docs = pack(forward, "rec_no")
+    both = pairs.join(asked.withColumnsRenamed({"cs": "qc", "vs": "qv"}), "query_id").join(docs, "rec_no").select("query_id", "rec_no", "qc", "qv", "cs", "vs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (qc, qn), (dc, dn) = numbers(b.column(2), np.int32), numbers(b.column(4), np.int32)
+            qv, dv = numbers(b.column(3), np.float64)[0], numbers(b.column(5), np.float64)[0]
+            a, z = (np.repeat(np.arange(b.num_rows, dtype=np.int64), n) << 32 | c for c, n in ((qc, qn), (dc, dn)))
+            at = np.minimum(np.searchsorted(a, z), max(len(a) - 1, 0))
+            same = np.flatnonzero(a[at] == z) if len(a) else np.zeros(0, int)
+            of = z[same] >> 32
+            total = np.bincount(of, weights=qv[at[same]] * dv[same], minlength=b.num_rows)
+            met = np.bincount(of, minlength=b.num_rows) > 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total)], names=["query_id", "rec_no", "score"]).filter(pa.array(met))
+
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    return both.mapInArrow(run, f"query_id {types['query_id']}, rec_no long, score double")
+
+
+def lists_of(postings: DataFrame, forward: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """component, block, rec_no, cs, vs: the posting lists with the whole vectors of their records, and with codes also a row
+    for each block's summary (without rec_no). This is the layout an index is stored in: a search reads the lists it visits."""
+    block = F.col("block") if "block" in postings.columns else F.lit(0).alias("block")
+    inside = postings.select("component", block, "rec_no").join(pack(forward, "rec_no"), "rec_no").select("component", "block", "rec_no", "cs", "vs")
+    if codes is None:
+        return inside
+    values = codes.select("component", "block", "c", (F.col("low") + F.col("code") * F.col("step")).alias("w"))
+    short = pack(values, "block", "c", by=("component",)).select("component", "block", F.lit(None).cast("long").alias("rec_no"), "cs", "vs")
+    return inside.unionByName(short)
+
+
+def _visit(lists: DataFrame, visits: DataFrame, queries: DataFrame, cell, spec: str, block: int = 4096) -> DataFrame:
+    """cell(list, visitors) for each list and the queries that visit it, at most about block of them at a time: a list that very many
+    queries visit is given to several tasks. lists: as lists_of gives them; visits: query_id, component and others."""
+    asked = visits.join(pack(queries, "query_id", value="qw").withColumnsRenamed({"cs": "qc", "vs": "qv"}), "query_id")
+    salts = visits.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("salts"))
+    left = lists.join(salts, "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    right = asked.join(salts, "component").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("salts")).cast("int")).drop("salts")
+
+    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return cell(left, right.rename_columns([{"qc": "cs", "qv": "vs"}.get(c, c) for c in right.column_names]))
+
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # both may come from one table
+    return left.groupBy("component", "salt").cogroup(right.groupBy("component", "salt")).applyInArrow(run, spec)
+
+
+def _found(query_ids: pa.ChunkedArray, ids: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], **others: np.ndarray) -> pa.Table:
+    row, col, score = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return pa.table({"query_id": query_ids.take(pa.array(row.astype(np.int64))), "rec_no": ids[col], "score": score, **others})
 
 
 def candidate_topk(queries: DataFrame, postings: DataFrame, forward: DataFrame, k: int = 10, cut: int = 10) -> DataFrame:
-    """The k best of all records in the lists of a query's cut heaviest components, without skipping."""
+    """The k best of all records in the lists of a query's cut heaviest components, without skipping.
+
+    A list meets the queries that visit it in one task, which scores its records and hands on the k best of each query; the k
+    best of all lists are among these. So neither pairs nor vectors of single pairs are shuffled.
+    """
+    _check_k(k)
+
+    def cell(held: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, d, q = held["rec_no"].to_numpy(), Vectors.of(held), Vectors.of(asked)
+        rows = []
+        if len(ids):
+            for part, score in q.products(d):
+                row, col = best_of_rows(score, ids, k, np.ones(score.shape, bool))  # a visited list's records share its component
+                rows.append((row + part.start, col, score[row, col]))
+        return _found(asked["query_id"], ids, rows)
+
+    spec = f"query_id {queries.schema['query_id'].dataType.simpleString()}, rec_no long, score double"
+    visits = query_cut(queries, cut).select("query_id", "component")
+    best = _visit(lists_of(postings, forward), visits, queries, cell, spec)
+    return _ranked(best.distinct(), k)
+
+
+def pruned_topk(
+    queries: DataFrame, lists: DataFrame, k: int = 10, cut: int = 10, heap_factor: float = 0.7, first_sorted: bool = True
+) -> DataFrame:
+    """query_id, rec_no, score, rank, and n_scored and n_inside of its query: a search that saves the work it skips, in two rounds.
+
+    lists: as lists_of gives them, with summaries. In the first round a query visits the list of its heaviest component: the
+    blocks with the highest estimates (the first ones, unless first_sorted) are scored until k records are, then those
+    of the others whose estimate reaches heap_factor times the k-th score. In the second round it visits the other lists
+    with the k-th score of the first, and no block below heap_factor times it is scored. A block that a sequential search
+    with a rising threshold visits is visited here too, unless the first list has fewer than k records,
+    so results are no worse; n_scored of the n_inside records in the lists (each as often as it is there) were scored.
+    """
     _check_k(k)
-    return _ranked(score(candidates(query_cut(queries, cut), postings), queries, forward), k)
+
+    def cell(held: pa.Table, asked: pa.Table) -> pa.Table:
+        records = np.flatnonzero(np.asarray(held["rec_no"].is_valid()))
+        short = np.flatnonzero(~np.asarray(held["rec_no"].is_valid()))
+        ids, block = held["rec_no"].take(pa.array(records)).to_numpy(), held["block"].to_numpy()
+        if not len(ids):
+            return _found(asked["query_id"], ids, [], n_scored=np.zeros(0, int), n_inside=np.zeros(0, int))
+        everything, q = Vectors.of(held), Vectors.of(asked)
+        known, of = np.unique(block[records], return_inverse=True)
+        size = np.bincount(of, minlength=len(known))
+        order = np.argsort(of, kind="stable")
+        starts = np.append(0, np.cumsum(size))
+        d = everything.take(records[order])
+        ids = ids[order]
+        names, local = np.unique(d.components, return_inverse=True)
+        floor, first = asked["floor"].to_numpy(zero_copy_only=False), asked["list_rank"].to_numpy() == 1
+        rows, scored = [], np.zeros(len(q), np.int64)
+        at_short = np.searchsorted(known, block[short])
+        for part, product in q.products(everything.take(short)):
+            estimate = np.zeros((part.stop - part.start, len(known)))
+            estimate[:, at_short] = product
+            for i in range(part.start, part.stop):
+                est = estimate[i - part.start]
+                dense = np.zeros(len(names))
+                c, v = q.components[q.starts[i] : q.starts[i + 1]], q.values[q.starts[i] : q.starts[i + 1]]
+                where = np.minimum(np.searchsorted(names, c), len(names) - 1)
+                dense[where[names[where] == c]] = v[names[where] == c]
+
+                def scores(blocks: np.ndarray, dense: np.ndarray = dense) -> tuple[np.ndarray, np.ndarray]:
+                    n = size[blocks]
+                    recs = np.repeat(starts[blocks] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    n = d.starts[recs + 1] - d.starts[recs]
+                    ends = np.cumsum(n)
+                    at = np.repeat(d.starts[recs] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+                    return recs, np.add.reduceat(dense[local[at]] * d.values[at], ends - n) if len(recs) else np.zeros(0)
+
+                todo = np.arange(len(known))
+                recs, score, least = np.zeros(0, int), np.zeros(0), floor[i]
+                if first[i]:
+                    todo = np.argsort(-est, kind="stable") if first_sorted else todo
+                    enough = int(np.searchsorted(np.cumsum(size[todo]), k)) + 1
+                    recs, score = scores(todo[:enough])
+                    todo = todo[enough:]
+                    least = -np.partition(-score, k - 1)[k - 1] if len(score) >= k else -np.inf
+                if len(todo):
+                    more = scores(todo if np.isneginf(least) else todo[est[todo] >= heap_factor * least])
+                    recs, score = np.append(recs, more[0]), np.append(score, more[1])
+                scored[i] = len(recs)
+                best = np.lexsort((ids[recs], -score))[:k]
+                rows.append((np.full(max(len(best), 1), i), recs[best] if len(best) else np.array([0]), score[best] if len(best) else np.array([-np.inf])))
+        inside = len(ids)
+        which = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, int)
+        new = np.diff(which, prepend=-1) != 0  # counts stand in the first row of a query and list
+        return _found(asked["query_id"], ids, rows, n_scored=np.where(new, scored[which], 0), n_inside=np.where(new, inside, 0))
+
+    spec = f"query_id {queries.schema['query_id'].dataType.simpleString()}, rec_no long, score double, n_scored long, n_inside long"
+    visits = query_cut(queries, cut).select("query_id", "component", "list_rank")
+    none = F.lit(float("-inf"))
+    one = written(_visit(lists, visits.where("list_rank = 1").withColumn("floor", none), queries, cell, spec), "first")
+    kth = top_by(one.where(F.col("score") > none), ["query_id"], [F.desc("score"), "rec_no"], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    rest = visits.where("list_rank > 1").join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", none)).drop("kth")
+    every = written(one.unionByName(_visit(lists, rest, queries, cell, spec)), "visited")
+    counts = every.groupBy("query_id").agg(F.sum("n_scored").alias("n_scored"), F.sum("n_inside").alias("n_inside"))
+    hits = every.where(F.col("score") > none).select("query_id", "rec_no", "score").distinct()
+    return _ranked(hits, k).join(counts, "query_id")
 
 
 def skipping_topk(
@@ -192,8 +290,10 @@ def remap(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 def with_text(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """hits with content. Records that share an id have the content of the first of them (docs: rec_no, doc_id, content)."""
-    first = docs.withColumn("first", F.min_by("content", "rec_no").over(Window.partitionBy("doc_id")))
-    return hits.join(first.select("rec_no", "doc_id", F.col("first").alias("content")), "rec_no", "left")
+    named = hits.join(docs.select("rec_no", "doc_id"), "rec_no", "left")
+    wanted = named.select("doc_id").distinct()
+    first = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("content", "rec_no").alias("content"))  # contents of the hits' ids only
+    return named.join(first, "doc_id", "left").select(*hits.columns, "doc_id", "content")
 
 
 def rag_prompts(hits: DataFrame, docs: DataFrame, queries: DataFrame, query_key: str = "id", query_text: str = "content") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,10 +13,14 @@ from lexivane.functions import quantise
 from lexivane.operators import blocks, knn, metrics, prune, search, summaries, tuning, vectors
 from lexivane.session import cut, spread, table
 
-#: Knobs of the registered queries: small enough for every branch (full lists, dissolved clusters, skipped blocks) to occur.
-N_POSTINGS, MAX_FRACTION, ALPHA, BLOCK_SIZE = 12, 1.5, 0.3, 4
-CENTROIDS, MIN_CLUSTER, ENERGY, N_SUMMARY = 0.34, 1, 0.4, 8
-K, CUT, HEAP_FACTOR, DIM = 10, 5, 0.9, 5
+#: Knobs of the registered queries: those of a production index.
+N_POSTINGS, MAX_FRACTION, ALPHA, BLOCK_SIZE = 3500, 1.5, 0.15, 10
+CENTROIDS, MIN_CLUSTER, ENERGY, N_SUMMARY = 0.1, 2, 0.4, 50
+K, CUT, HEAP_FACTOR, DIM, PRUNING_FACTOR = 10, 10, 0.7, 10, 0.005
+if os.environ.get("LEXIVANE_SMALL_KNOBS"):  # tests: small enough for every branch (full lists, dissolved clusters, skipped blocks) to occur on small tables
+    N_POSTINGS, MAX_FRACTION, ALPHA, BLOCK_SIZE = 12, 1.5, 0.3, 4
+    CENTROIDS, MIN_CLUSTER, ENERGY, N_SUMMARY = 0.34, 1, 0.4, 8
+    K, CUT, HEAP_FACTOR, DIM, PRUNING_FACTOR = 10, 5, 0.9, 5, 0.1
 
 
 class Data:
@@ -51,9 +56,12 @@ class Data:
     def postings(self) -> DataFrame:
         return cut(prune.prune_fixed(self.stored, N_POSTINGS), "postings")
 
-    def clusters(self, algorithm: str = "approx") -> tuple[DataFrame, DataFrame, DataFrame]:
-        cents = blocks.centroids(self.postings, CENTROIDS)
-        return (cents, *blocks.assign(self.postings, self.stored, cents, algorithm, pruning_factor=0.1))
+    @cached_property
+    def cents(self) -> DataFrame:
+        return blocks.centroids(self.postings, CENTROIDS)
+
+    def clusters(self, algorithm: str = "approx") -> DataFrame:
+        return blocks.clusters(self.postings, self.stored, self.cents, algorithm, MIN_CLUSTER, pruning_factor=PRUNING_FACTOR)
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -67,6 +75,13 @@ class Data:
     def codes(self) -> DataFrame:
         return summaries.quantise_summaries(summaries.summary_energy(self.maxima, ENERGY))
 
+    @cached_property
+    def lists(self) -> DataFrame:
+        """The lists of an index with clusters as blocks, as a search reads them."""
+        clustered = cut(self.blocks, "blocks")
+        short = summaries.summary_energy(summaries.block_max(clustered, self.stored), ENERGY)
+        return cut(search.lists_of(clustered, self.stored, summaries.quantise_summaries(short)), "lists")
+
     @cached_property
     def fixed_blocks(self) -> DataFrame:
         return blocks.block_fixed(self.postings, BLOCK_SIZE)
@@ -112,7 +127,7 @@ long as (
   select component, rec_no centroid, ord from (
     select *, row_number() over (partition by component order by h, rec_no) ord from (
       select component, rec_no, count(*) over (partition by component) n, (rec_no * 2654435761 + cast(component as bigint) * 40503) % 1000003 h from post))
-  where ord <= greatest(1, floor(cast(n as double) * cast({CENTROIDS} as double)))
+  where ord <= greatest(1, floor(cast(n as float) * cast({CENTROIDS} as float)))
 ), doc_cut as (
   select * from (select *, row_number() over (partition by rec_no order by w desc, component) r from fwd) where r <= 15
 ), cent_entries as (
@@ -259,46 +274,64 @@ def block_fixed(d: Data) -> DataFrame:
 
 @query("select component, centroid, ord from cents")
 def cluster_centroids(d: Data) -> DataFrame:
-    return d.clusters()[0]
+    return d.cents
 
 
 @query("select component, rec_no, ord from approx_first")
 def cluster_approx_assign(d: Data) -> DataFrame:
-    return d.clusters()[1]
+    return d.clusters().select("component", "rec_no", F.col("first").alias("ord"))
 
 
 @query("select component, rec_no, ord from approx_final")
 def cluster_dissolve_reassign(d: Data) -> DataFrame:
-    return blocks.dissolve(d.postings, *d.clusters(), MIN_CLUSTER)
+    return d.clusters().select("component", "rec_no", "ord")
 
 
-@query(
-    """select p.component, p.rec_no, cast(coalesce(own.ord, s.ord, 1) as integer) ord
-from post p left join cents own on own.component = p.component and own.centroid = p.rec_no
-left join (select component, rec_no, arg_max(ord, {'s': score, 'o': -ord}) ord from (
-    select p.component, p.rec_no, e.ord, sum(f.w * e.cw) score
-    from post p join fwd f using (rec_no) join cent_entries e on e.component = p.component and e.c = f.component group by all) group by all) s
-  on s.component = p.component and s.rec_no = p.rec_no"""
-)
-def cluster_exact_assign(d: Data) -> DataFrame:
-    return d.clusters("exact")[1]
-
-
-@query(
-    """select p.component, p.rec_no, cast(coalesce(own.ord, s.ord, 1) as integer) ord
-from post p left join cents own on own.component = p.component and own.centroid = p.rec_no
-left join (select component, rec_no, arg_max(ord, {'s': score, 'o': -ord}) ord from (
-    select p.component, p.rec_no, e.ord, sum(f.w * e.cw) score
-    from post p join fwd f using (rec_no) join cent_entries e on e.component = p.component and e.c = f.component group by all) x
-  semi join (
+_WHOLE_SCORES = """, scored as (
+  select p.component, p.rec_no, e.ord, sum(f.w * e.cw) score
+  from post p join fwd f using (rec_no) join cent_entries e on e.component = p.component and e.c = f.component group by all
+)"""
+_PROBED_SCORES = _WHOLE_SCORES.replace("scored", "every_score") + f""", scored as (
+  select * from every_score semi join (
     select distinct p.component, p.rec_no, l.ord from post p join doc_cut d using (rec_no) join (
       select * from (select e.*, row_number() over (partition by e.component, e.c order by e.cw desc, e.ord) r, n
         from cent_entries e join (select component, count(*) n from post group by component) using (component))
-      where r <= greatest(5, floor(n * 0.1::double))) l on l.component = p.component and l.c = d.component) y using (component, rec_no, ord)
-  group by all) s on s.component = p.component and s.rec_no = p.rec_no"""
+      where r <= greatest(5, floor(cast(n as float) * cast({PRUNING_FACTOR} as float)))) l on l.component = p.component and l.c = d.component) y using (component, rec_no, ord)
+)"""
+_OWN_FIRST = """, first_of as (
+  select p.component, p.rec_no, cast(coalesce(own.ord, s.ord, 1) as integer) ord
+  from post p left join cents own on own.component = p.component and own.centroid = p.rec_no
+  left join (select component, rec_no, arg_max(ord, {'s': score, 'o': -ord}) ord from scored group by all) s on s.component = p.component and s.rec_no = p.rec_no
+)"""
+_OWN_FINAL = f""", small as (
+  select component, ord from first_of group by all having count(*) <= {MIN_CLUSTER}
+), left_over as (
+  select component, ord from cents anti join small using (component, ord)
 )
+select component, rec_no, ord from first_of anti join small using (component, ord) union all
+select m.component, m.rec_no, cast(coalesce(s.ord, 1) as integer) from (select * from first_of semi join small using (component, ord)) m left join (
+  select component, rec_no, arg_max(ord, {{'s': score, 'o': -ord}}) ord from scored semi join left_over using (component, ord) group by all
+) s using (component, rec_no)"""
+
+
+@query(_WHOLE_SCORES + _OWN_FIRST + " select component, rec_no, ord from first_of")
+def cluster_exact_assign(d: Data) -> DataFrame:
+    return d.clusters("exact").select("component", "rec_no", F.col("first").alias("ord"))
+
+
+@query(_WHOLE_SCORES + _OWN_FIRST + _OWN_FINAL)
+def cluster_exact_dissolve(d: Data) -> DataFrame:
+    return d.clusters("exact").select("component", "rec_no", "ord")
+
+
+@query(_PROBED_SCORES + _OWN_FIRST + " select component, rec_no, ord from first_of")
 def cluster_inverted_assign(d: Data) -> DataFrame:
-    return d.clusters("inverted")[1]
+    return d.clusters("inverted").select("component", "rec_no", F.col("first").alias("ord"))
+
+
+@query(_PROBED_SCORES + _OWN_FIRST + _OWN_FINAL)
+def cluster_inverted_dissolve(d: Data) -> DataFrame:
+    return d.clusters("inverted").select("component", "rec_no", "ord")
 
 
 @query("select component, cast(dense_rank() over (partition by component order by ord) - 1 as integer) block, rec_no from approx_final")
@@ -382,24 +415,58 @@ def skip_topk_unsorted(d: Data) -> DataFrame:
     return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.stored, 3, CUT, HEAP_FACTOR, False)
 
 
-@query(
-    f"""select {_HITS} from (select *, cast(row_number() over (partition by query_id order by score desc, rec_no) as integer) rank from (
+_ALL_BLOCKS = f"""select {_HITS} from (select *, cast(row_number() over (partition by query_id order by score desc, rec_no) as integer) rank from (
   select query_id, rec_no, sum(qw * w) score from (select distinct query_id, rec_no from qcut join fixed_blocks using (component))
   join q using (query_id) join fwd using (rec_no, component) group by all)) where rank <= {K}"""
-)
+
+
+@query(f"select {_HITS} from cand_top")
+def pruned_topk_factor_zero(d: Data) -> DataFrame:
+    return search.pruned_topk(d.queries, d.lists, K, CUT, 0.0).select("query_id", "rec_no", "score", "rank")
+
+
+@query()
+def pruned_topk(d: Data) -> DataFrame:
+    return search.pruned_topk(d.queries, d.lists, K, CUT, HEAP_FACTOR)
+
+
+@query()
+def pruned_recall(d: Data) -> DataFrame:
+    """One row: recall of pruned_topk against exact search, and the share of the records in the visited lists that were scored."""
+    hits = cut(search.pruned_topk(d.queries, d.lists, K, CUT, HEAP_FACTOR), "hits").withColumnRenamed("rec_no", "doc_id")
+    truth = search.exact_topk(spread(d.records), d.raw_queries, K).withColumnRenamed("rec_no", "doc_id")
+    work = hits.where("rank = 1").agg(F.sum("n_scored").alias("n_scored"), F.sum("n_inside").alias("n_inside"))
+    return metrics.accuracy_at_k(hits, truth, K).select("*", *[work.select(c).scalar().alias(c) for c in work.columns])
+
+
+@query(_ALL_BLOCKS)
 def skip_topk_factor_zero(d: Data) -> DataFrame:
     """With heap_factor 0 nothing can be skipped: the result is that of a search of all blocks."""
     return search.skipping_topk(d.queries, d.fixed_blocks, d.codes, d.stored, K, CUT, 0.0).drop("n_skipped")
 
 
 @query("select rec_no, rank, neighbour, score from graph")
-def knn_graph(d: Data) -> DataFrame:
-    return knn.exact_graph(d.stored, d.postings, DIM)
+def candidate_graph(d: Data) -> DataFrame:
+    return knn.candidate_graph(d.stored, d.postings, DIM)
 
 
 @query("select rec_no, rank, neighbour, score from graph where rank <= 2")
 def knn_limit(d: Data) -> DataFrame:
-    return knn.limit_graph(knn.exact_graph(d.stored, d.postings, DIM), 2)
+    return knn.limit_graph(knn.candidate_graph(d.stored, d.postings, DIM), 2)
+
+
+@query()
+def knn_graph(d: Data) -> DataFrame:
+    """Self-search with summaries; the test compares it with candidate_graph."""
+    return knn.knn_graph(d.stored, d.fixed_blocks, d.codes, DIM)
+
+
+@query("select rec_no, rank, neighbour, score from graph")
+def knn_graph_factor_zero(d: Data) -> DataFrame:
+    """With heap_factor 0 no block is skipped: the graph over all candidates (of lists in blocks of one)."""
+    single = blocks.block_fixed(d.postings, 1)
+    codes = summaries.quantise_summaries(summaries.summary_energy(summaries.block_max(single, d.stored), ENERGY))
+    return knn.knn_graph(d.stored, single, codes, DIM, heap_factor=0.0)
 
 
 @query(
@@ -411,7 +478,7 @@ def knn_limit(d: Data) -> DataFrame:
 )
 def knn_refine_topk(d: Data) -> DataFrame:
     hits = search.candidate_topk(d.queries, d.postings, d.stored, K, CUT)
-    return search.refine(hits, knn.exact_graph(d.stored, d.postings, DIM), d.queries, d.stored, K, DIM)
+    return search.refine(hits, knn.candidate_graph(d.stored, d.postings, DIM), d.queries, d.stored, K, DIM)
 
 
 @query("select query_id, coalesce(id, cast(rec_no as varchar)) doc_id, score, cand_top.rank from cand_top join sparse_records using (rec_no)")

@@ -1,8 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ["LEXIVANE_SMALL_KNOBS"] = "1"
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from lexivane.session import local_session  # noqa: E402

@@ -1,4 +1,6 @@
-"""Registered queries against their SQL on the smallest tables: those with the longest plans, or with LEXIVANE_ALL_QUERIES=1 every one."""
+"""Registered queries against their SQL on the smallest tables: those with the longest plans, or with LEXIVANE_ALL_QUERIES=1 every one.
+
+Here they have small knobs, so that full lists, dissolved clusters and skipped blocks occur on small tables."""
 
 import math
 import os
@@ -27,7 +29,7 @@ def plain(x):
     return repr(x)
 
 
-SOME = ["exact_topk", "cluster_dissolve_reassign", "summary_quantised", "skip_topk_sorted", "knn_refine_topk", "rag_prompt", "recall_at_k", "ndcg_at_10", "prune_global", "best_config", "space_usage", "p1_found"]
+SOME = ["exact_topk", "cluster_dissolve_reassign", "summary_quantised", "skip_topk_sorted", "knn_refine_topk", "cluster_inverted_dissolve", "pruned_topk_factor_zero", "rag_prompt", "recall_at_k", "ndcg_at_10", "prune_global", "best_config", "space_usage", "p1_found"]
 
 
 def core():

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexivane.functions import packed
 from lexivane.functions.quantise import FIXED_BITS, fixed_code, fixed_scale, quantise, round_float
 from lexivane.operators import blocks, knn, prune, search, summaries, vectors
 from lexivane.operators.ranking import global_rank
@@ -134,10 +135,49 @@ def test_all_clusters_too_small_go_to_the_first_centroid(spark):
     forward = spark.createDataFrame(rows, FORWARD)
     postings = prune.prune_fixed(forward, 100).where("component = 0")
     cents = blocks.centroids(postings, 1.0)
-    first, scores = blocks.assign(postings, forward, cents)
-    assert first.select("ord").distinct().count() == 4
-    final = blocks.dissolve(postings, cents, first, scores, 2)
-    assert [r.ord for r in final.collect()] == [1, 1, 1, 1]
+    got = blocks.clusters(postings, forward, cents).collect()
+    assert len({r.first for r in got}) == 4 and [r.ord for r in got] == [1, 1, 1, 1]
+    kept = blocks.clusters(postings, forward, cents, keep_dissolved=True).collect()
+    assert len({r.ord for r in kept}) == 4
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_products_of_packed_vectors(monkeypatch, most):
+    """In matrices of any size, also with empty vectors and none at all."""
+    monkeypatch.setattr(packed, "CELLS", most)
+    docs, queries = collection(8)
+
+    def rows(vectors):
+        own = [sorted(v.items()) for v in vectors]
+        flat = [x for v in own for x in v]
+        return packed.Vectors(np.append(0, np.cumsum([len(v) for v in own])), np.array([c for c, _ in flat], np.int32), np.array([w for _, w in flat], float))
+
+    q, d = rows(queries.values()), rows(docs.values())
+    got = np.concatenate([m for _, m in q.products(d)])
+    assert np.array_equal(got, [[dot(a, b) for b in docs.values()] for a in queries.values()])
+    shared = np.concatenate([m for _, m in q.touches(d)])
+    assert np.array_equal(shared, [[bool(set(a) & set(b)) for b in docs.values()] for a in queries.values()])
+    assert [m.shape for _, m in rows([{}]).products(d)] == [(1, 60)] and list(rows([]).products(d)) == []
+    heavy = d.heaviest(2)
+    assert [sorted(heavy.components[a:z]) for a, z in zip(heavy.starts[:-1], heavy.starts[1:])] == [sorted(c for c, _ in sorted(v.items(), key=lambda x: (-x[1], x[0]))[:2]) for v in docs.values()]
+
+
+@pytest.mark.parametrize("sorted_", [True, False])
+def test_pruned_search(spark, sorted_):
+    """Without a factor all records of the lists are scored; with one, fewer, and a block that a sequential search visits is scored as well."""
+    docs, queries = collection(6, 400, 12, 6)
+    forward, asked = frames(spark, docs, queries)
+    fixed = cut(blocks.block_fixed(prune.prune_fixed(forward, 100), 4), "t")
+    codes = summaries.quantise_summaries(summaries.summary_energy(summaries.block_max(fixed, forward), 1.0))
+    lists = cut(search.lists_of(fixed, forward, codes), "t")
+    want = as_lists(search.skipping_topk(asked, fixed, codes, forward, 4, 3, 0.0))
+    every = search.pruned_topk(asked, lists, 4, 3, 0.0, sorted_).collect()
+    assert as_lists(spark.createDataFrame(every)) == want and all(r.n_scored == r.n_inside > 0 for r in every)
+    some = search.pruned_topk(asked, lists, 4, 3, 0.9, sorted_).collect()
+    assert sum(r.n_scored for r in some) < 0.7 * sum(r.n_inside for r in some)
+    kth = {r.query_id: r.score for r in search.skipping_topk(asked, fixed, codes, forward, 4, 3, 0.9, sorted_).where("rank = 4").collect()}
+    assert kth and all(r.score >= kth[r.query_id] for r in some if r["rank"] == 4 and r.query_id in kth)
+    assert search.pruned_topk(asked.limit(0), lists, 4, 3, 0.9).count() == 0 and search.pruned_topk(asked, lists.limit(0), 4, 3, 0.9).count() == 0
 
 
 def test_energy_takes_the_element_that_reaches_it(spark):
@@ -160,6 +200,17 @@ def test_a_block_that_shares_nothing_is_estimated_0(spark):
     assert [(r.component, r.est) for r in est] == [(0, 0.0)]
 
 
+@pytest.mark.parametrize("kinds", [3, 1000])
+def test_the_heaviest_of_all_entries(spark, kinds):
+    """With many ties, and with none."""
+    rng = random.Random(kinds)
+    rows = [(r, c, rng.randrange(1, kinds) / 64) for r in range(120) for c in rng.sample(range(9), 5)]
+    forward = spark.createDataFrame(rows, FORWARD)
+    for n in (1, 7, 40, 66, 67, 1000):
+        got = {(r.component, r.rec_no) for r in prune.prune_global(forward, n, 100.0, 9).collect()}
+        assert got == {(c, r) for r, c, _ in sorted(rows, key=lambda x: (-x[2], x[1], x[0]))[: 9 * n]}
+
+
 def test_global_prune_does_not_replace(spark):
     rows = [(r, 0, 10.0 - r) for r in range(6)] + [(0, 1, 1.0), (1, 1, 0.5)]
     got = prune.prune_global(spark.createDataFrame(rows, FORWARD), 2, 1.5, 2).collect()
@@ -170,7 +221,7 @@ def test_neighbours_and_refinement(spark):
     docs, queries = collection(5, 30)
     forward, asked = frames(spark, docs, queries)
     postings = prune.prune_fixed(forward, 1000)
-    graph = knn.exact_graph(forward, postings, 3, 100)
+    graph = knn.candidate_graph(forward, postings, 3, 100)
     for r in graph.collect():
         assert r.rec_no != r.neighbour and r.score == dot(docs[r.rec_no], docs[r.neighbour])
     assert knn.knn_len(graph) == 3 and knn.knn_len(None) == 0

@@ -18,10 +18,12 @@ from lexivane.llm.hashing import mix
 
 #: Encodings texts are written in, and read in by mistake, in Python's names.
 WESTERN, CENTRAL, CYRILLIC = ["cp1252", "mac_roman", "cp437", "cp850"], ["cp1250", "iso8859_2", "cp852"], ["cp1251", "koi8_r", "cp866", "iso8859_5"]
-READ_SINGLE = ["latin_1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp852", "cp1251", "koi8_r", "cp866", "cp1254"]
+READ_SINGLE = ["latin_1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp852", "cp1251", "koi8_r", "cp866", "cp1254", "iso8859_15"]
 EAST_ASIAN = ["cp932", "euc_jp"]
 READ_MULTI = ["cp932", "gbk", "big5"]
 READ_AGAIN = ["latin_1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251"]
+#: Written in these and read as UTF-8, most bytes beyond ASCII come out as the replacement sign.
+REPLACED = ["cp1252", "cp1250", "cp1251", "koi8_r", "mac_roman", "cp932", "euc_jp"]
 
 BUCKETS = 1 << 13
 #: Documents the classifier is fitted on, at most; those with the lowest hash of their id.
@@ -76,7 +78,7 @@ def chains() -> list[Chain]:
     out: list[Chain] = [(("utf-8", r),) for r in READ_SINGLE + READ_MULTI]
     out += [((w, r),) for w in WESTERN + CENTRAL + CYRILLIC for r in READ_SINGLE if w != r]
     out += [((w, r),) for w in EAST_ASIAN for r in ["latin_1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", *READ_MULTI] if w != r]
-    out += [(("utf-8", a), ("utf-8", b)) for a in READ_AGAIN for b in READ_AGAIN if a == b or {a, b} == {"latin_1", "cp1252"}]
+    out += [(("utf-8", a), ("utf-8", b)) for a in READ_AGAIN for b in READ_AGAIN]
     out += [(("utf-8", r),) * 3 for r in ("latin_1", "cp1252")]
     return out
 
@@ -113,22 +115,50 @@ def garble_all(words: list[str], chain: Chain) -> list[str | None]:
     return [None if "\0" in g else g for g in text.split("\n")]
 
 
+def lossy(words: list[str]) -> list[tuple[str, list[str]]]:
+    """Two more classes, of which nothing can be restored: what words become when they are read as UTF-8 with the replacement sign, and
+    those read in latin_1 that get a control from 80 to 9F."""
+    replaced, control = [], []
+    for w in words:
+        for e in REPLACED:
+            try:
+                g = _encode(w, e).decode("utf-8", "replace")
+            except UnicodeError:
+                continue
+            replaced.append(g if "\ufffd" in g else "")
+        for e in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
+            try:
+                g = _encode(w, e).decode("latin_1")
+            except UnicodeError:
+                continue
+            control.append(g if _CONTROL.search(g) else "")
+    return [("replaced", replaced), ("control", control)]
+
+
 def _reads_as_utf8(w: str, usual: set[str]) -> bool:
     """Whether a run of signs beyond ASCII is UTF-8, of usual signs, as a single-byte encoding shows it."""
     backs = (invert(run, (("utf-8", r),)) for run in _HIGH.findall(w) for r in READ_SINGLE)
     return any(back is not None and usual.issuperset(back) for back in backs)
 
 
-def stretches(text: str) -> list[str]:
-    """The runs without white space that hold signs beyond ASCII, cut where East Asian signs begin or end."""
+#: Signs of an East Asian piece: the unit the classifier is fitted on, and judges where a whole run isn't garbled.
+PIECE = 16
+
+
+def pieces(run: str) -> list[str]:
+    return [run[i : i + PIECE] for i in range(0, len(run), PIECE)]
+
+
+def stretches(text: str, whole: bool = False) -> list[str]:
+    """The runs without white space that hold signs beyond ASCII, cut where East Asian signs begin or end; East Asian runs as
+    pieces, or whole: a garbled run's characters lie across pieces, so only the whole of it can be put right."""
     out = []
     for m in _STRETCH.finditer(text):
         run, at = m[0], 0
         for east in _EAST.finditer(run):
             if east.start() > at:
                 out.append(run[at : east.start()])
-            part = east[0]
-            out.extend(part[i : i + 16] for i in range(0, len(part), 16))
+            out.extend([east[0]] if whole else pieces(east[0]))
             at = east.end()
         if at < len(run):
             out.append(run[at:])
@@ -168,7 +198,7 @@ class Model:
             for ch in set(w):
                 signs[ch] += n
         usual = {ch for ch, n in signs.items() if n >= 3}
-        counted = Counter({w: n for w, n in counted.items() if "�" not in w and not _reads_as_utf8(w, usual)})
+        counted = Counter({w: n for w, n in counted.items() if "�" not in w and not _CONTROL.search(w) and not _reads_as_utf8(w, usual)})
         self.counted = counted
         words = sorted(counted)
         derived: set[str] = set()
@@ -177,6 +207,9 @@ class Model:
             made = garble_all(words, chain)
             derived.update(g for w, g in zip(words, made) if g is not None and len(g) > 2 and g != w and counted[w] > counted.get(g, sys.maxsize))
             rows.append((chain, *features(["" if g is None or g == w or g.isascii() else g for w, g in zip(words, made)])))
+        # of letters as well, so that these classes are there whatever the sample holds
+        base = words + [f"a{chr(c)}e" for c in (*range(0xA1, 0x180), *range(0x410, 0x450))]
+        self.lossy = [(name, features(made)[0]) for name, made in lossy(base)]
         for _ in range(2):
             self._fit(words, derived, rows)
             derived.update(w for w, v in self.verdicts([w for w in words if w not in derived]).items() if v[0])
@@ -187,7 +220,8 @@ class Model:
         counts = [(chain, np.bincount(bucket, weights=weight[of] if len(of) else None, minlength=BUCKETS)) for chain, bucket, of in rows]
         counts = [(chain, n) for chain, n in counts if chain is None or n.any()]
         self.chains = [chain for chain, _ in counts]
-        table = np.array([n for _, n in counts])
+        self.names = ["", *("+".join(f"{w}>{r}" for w, r in chain) for chain in self.chains[1:]), *(name for name, _ in self.lossy)]
+        table = np.array([n for _, n in counts] + [np.bincount(bucket, minlength=BUCKETS).astype(float) for _, bucket in self.lossy])
         self.log = np.log((table + 0.02) / (table.sum(1, keepdims=True) + 0.02 * BUCKETS)).astype(np.float32)
         self.signs = {ch for w, n in zip(words, weight) if n for ch in w if ch > "\x7f"}
         mean = np.repeat(self.means(words), np.minimum(weight, 50).astype(int)) if words else np.zeros(0)
@@ -216,16 +250,17 @@ class Model:
         """Whether the letters and digits beside its signs tell that w stands for back: sampled texts hold back, and more of them than w."""
         return bool(_WITHIN.search(w)) and self.sampled.get(back, 0) > self.sampled.get(w, 0)
 
-    def verdicts(self, words: list[str], tries: int = 8, margin: float = 6.0) -> dict[str, tuple[int, str | None, str]]:
+    def verdicts(self, words: list[str], margin: float = 6.0) -> dict[str, tuple[int, str | None, str]]:
         """For each word: whether it is garbled (2: surely, 1: if its text has another such word, 0: not), its original
         (None if it can't be told) and the chain's name. 1 is for single-byte encodings and a word of
         one or two letters, which may be a word of another language, or without a letter beyond ASCII: a dash, a
         currency sign or a hard space within a word may be meant; unless it stands for a usual stretch (see told).
 
-        The chains that explain a word better than clean text does are tried from the likeliest on. A chain holds if its
+        All chains that explain a word better than clean text does are tried, from the likeliest on. A chain holds if its
         inverse decodes strictly, over the whole word or over each run of signs beyond ASCII that it
-        decodes, and gives text that is likelier as clean text, and as likely as known words are. Words with the
-        replacement sign, or with controls from 80 to 9F besides the line end 85, are garbled whatever the chain.
+        decodes, and gives text that is likelier as clean text, and as likely as known words are. A word with the
+        replacement sign, or with a control from 80 to 9F besides the line end 85, that no chain holds for is garbled beyond
+        repair if any class explains it better than clean text, of which such signs are no part.
         """
         out: dict[str, tuple[int, str | None, str]] = {}
         if not words:
@@ -235,13 +270,11 @@ class Model:
         asked: list[tuple[int, int, str]] = []
         for i, w in enumerate(words):
             if "�" in w:
-                out[w] = (2, None, "replaced")
                 continue
-            better = np.flatnonzero(score[i] > score[i, 0] + 3.0)
+            known = score[i, : len(self.chains)]
+            better = np.flatnonzero(known > known[0] + 3.0)
             seen = set()
-            for c in better[np.argsort(-score[i, better], kind="stable")][: tries * 4]:
-                if len(seen) >= tries:
-                    break
+            for c in better[np.argsort(-known[better], kind="stable")]:
                 chain = self.chains[c]
                 back = invert(w, chain)
                 if back is None:
@@ -280,11 +313,51 @@ class Model:
                 letters = [ch for ch in words[i] if ch.isalpha()]
                 maybe = self.chains[c][0][0] != "utf-8" and (len(letters) < 3 or max(letters) < "\x80")
                 maybe = maybe and not _CONTROL.search(words[i]) and not self.told(words[i], back)
-                out[words[i]] = (1 if maybe else 2, back, "+".join(f"{w}>{r}" for w, r in self.chains[c]))
-        for w in words:
-            out.setdefault(w, (2, None, "control") if _CONTROL.search(w) else (0, None, ""))
+                out[words[i]] = (1 if maybe else 2, back, self.names[c])
+        for i, w in enumerate(words):
+            lost = w not in out and ("�" in w or _CONTROL.search(w)) and score[i].argmax()
+            out.setdefault(w, (2, None, self.names[score[i].argmax()]) if lost else (0, None, ""))
         return out
 
+    def run_verdicts(self, run: str, judged: dict[str, tuple[int, str | None, str]]) -> list[tuple[str, tuple[int, str | None, str]]]:
+        """What an East Asian run consists of, with verdicts: itself, if it is garbled as a whole; else its pieces, where those from the
+        first garbled one to the last, with up to a piece more or three signs less at both ends, are put right as one if any
+        of their chains can be inverted over them."""
+        if judged[run][0] or len(run) <= PIECE:
+            return [(run, judged[run])]
+        parts = [(p, judged[p]) for p in pieces(run)]
+        bad = [i for i, (_, v) in enumerate(parts) if v[0]]
+        if not bad:
+            return parts
+        start, end = bad[0] * PIECE, min((bad[-1] + 1) * PIECE, len(run))
+        by_name = {name: chain for name, chain in zip(self.names, self.chains) if chain}
+        for name in dict.fromkeys(parts[i][1][2] for i in bad):
+            spans = sorted((z - a, a, z) for a in range(max(start - PIECE + 1, 0), start + 4) for z in range(end - 3, min(end + PIECE, len(run)) + 1) if z > a)
+            for _, a, z in reversed(spans):
+                back = invert(run[a:z], by_name[name]) if name in by_name else None
+                if back and back != run[a:z] and self.means([back])[0] >= self.plain:
+                    rest = [(x, (0, None, "")) for x in (run[:a], run[z:])]
+                    return [rest[0], (run[a:z], (2, back, name)), rest[1]]
+        return parts
+
+
+    def clean_likelihood(self, text: str) -> float:
+        return float(self.log[0][features(stretches(text))[0]].sum())
+
+    def whole_text(self, text: str, restored: str, names: list[str]) -> str | None:
+        """text put right by one chain as a whole, if one of the chains of its stretches can be inverted over all of it and that makes it
+        likelier as clean text than what was made stretch by stretch: stretches too weak to be told alone go with the others."""
+        best, best_text = self.clean_likelihood(restored), None
+        by_name = {name: chain for name, chain in zip(self.names, self.chains) if chain}
+        for name in names:
+            back = invert(text, by_name[name]) if name in by_name else None
+            if back is None or back in (text, restored) or any("\x7f" <= ch < "\xa0" for ch in back):
+                continue
+            likelihood = self.clean_likelihood(back)
+            if likelihood > best:
+                best, best_text = likelihood, back
+        return best_text
+
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> Model:
     """A model fitted on the texts beyond ASCII of at most sample rows, those with the lowest hash of their key.
@@ -305,7 +378,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SA
 def garbled(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """Of the rows of df with garbled text: key, n_garbled (stretches), n_restored, chains ARRAY<STRING>, restored STRING.
 
-    restored is the text with every stretch whose chain could be inverted put right. Null, empty and ASCII texts
+    restored is the text with every stretch whose chain could be inverted put right, or the whole of it by one chain (see whole_text). Null, empty and ASCII texts
     are no cases, and are sorted out before they reach Python. The classifier's size doesn't depend on df; it is
     broadcast. Each text is judged whole, for itself. Columns besides key and text are ignored.
     """
@@ -317,29 +390,27 @@ def garbled(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model
         judge = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
-            parts = [stretches(t) for t in texts]
-            new = {w for p in parts for w in p if w not in store}
+            parts = [stretches(t, True) for t in texts]
+            words = {w for p in parts for w in p}
+            words |= {x for w in words if len(w) > PIECE and _EAST.fullmatch(w) for x in pieces(w)}
+            new = words - store.keys()
             if len(store) + len(new) > STORE:
                 store.clear()
-                new = {w for p in parts for w in p}
+                new = words
             store.update(judge.verdicts(sorted(new)))
             keep, rows = [], []
             for i, (t, p) in enumerate(zip(texts, parts)):
-                bad = [w for w in p if store[w][0]]
-                if any(store[w][0] > 1 for w in bad) or len(set(bad)) > 1:
-                    at, pieces = 0, []
-                    for w in p:  # in their order
-                        found, back, _ = store[w]
-                        if found and back is not None:
-                            to = t.index(w, at)
-                            pieces += [t[at:to], back]
-                            at = to + len(w)
-                        else:
-                            at_w = t.index(w, at)
-                            pieces.append(t[at : at_w + len(w)])
-                            at = at_w + len(w)
+                told = [x for w in p for x in (judge.run_verdicts(w, store) if len(w) > PIECE and _EAST.fullmatch(w) else [(w, store[w])])]
+                bad = [(w, v) for w, v in told if v[0]]
+                if any(v[0] > 1 for _, v in bad) or len({w for w, _ in bad}) > 1:
+                    at, made = 0, []
+                    for w, (found, back, _) in told:  # in their order
+                        to = t.index(w, at)
+                        made += [t[at:to], back if found and back is not None else w]
+                        at = to + len(w)
+                    restored, names = "".join(made) + t[at:], sorted({v[2] for _, v in bad})
                     keep.append(i)
-                    rows.append((len(bad), sum(store[w][1] is not None for w in bad), sorted({store[w][2] for w in bad}), "".join(pieces) + t[at:]))
+                    rows.append((len(bad), sum(v[1] is not None for _, v in bad), names, judge.whole_text(t, restored, names) or restored))
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [

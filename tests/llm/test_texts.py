@@ -290,6 +290,37 @@ def test_texts_are_restored(spark, model):
     assert got[7].n_restored == 0 and got[7].chains == ["replaced"]
 
 
+def test_long_east_asian_runs_are_restored(spark):
+    """Runs of 40 signs, whose characters lie across any cut every 16 signs; also within other text of their kind."""
+    rng = random.Random(12)
+    kana = [chr(c) for c in range(0x3042, 0x3090)] + list("日本語検索文書重単転置索引近傍静森川湖灯台夜列車朝市場秋毎")
+    clean = ["".join(rng.choice(kana) for _ in range(40)) for _ in range(300)]
+    counted = Counter(x for t in clean for x in set(M.stretches(t)))
+    model = M.Model(counted)
+    rows, want = [], {}
+    for chain in [(("utf-8", "cp932"),), (("utf-8", "gbk"),), (("euc_jp", "cp932"),), (("utf-8", "latin_1"),), (("utf-8", "cp1252"),)]:
+        for t in clean:
+            try:
+                g = M.garble(t, chain)
+            except UnicodeError:
+                continue
+            if M.invert(g, chain) == t:
+                want[len(rows)] = t
+                rows.append((len(rows), g))
+    n = len(rows)
+    rows += [(n + i, t) for i, t in enumerate(clean)]
+    got = {r.doc_id: r.restored for r in M.garbled(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    assert len(want) > 300 and max(got) < n
+    assert sum(got.get(i) == t for i, t in want.items()) >= 0.95 * len(want)
+
+
+def test_classes_for_what_is_lost(model):
+    """Replacement signs and controls are told by classes of the model, also for letters the sample lacks."""
+    assert model.names[-2:] == ["replaced", "control"]
+    got = model.verdicts(["sal\ufffd", "\ufffd\ufffd\ufffd", "caf\x9d", "x\x93y\x94"])
+    assert all(v[0] == 2 for v in got.values()) and got["sal\ufffd"] == (2, None, "replaced")
+
+
 def test_a_lone_weak_stretch(spark, model):
     rows = [(1, "at 5 " + M.garble("°C", (("cp1252", "cp437"),)) + " today"), (2, "at 5 °C today"), (3, "it costs \xa350"), (4, "a caf\xe9"), (5, "in\xa0dex")]
     got = {r.doc_id: r.restored for r in M.garbled(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivane.session import cut
 from lexivane.sources.raw_lines import parse_cells
 
 ID_PATTERN = r"\A[A-Za-z0-9][A-Za-z0-9_:\-]*\z"
@@ -82,7 +83,7 @@ def loaded_lines(lines: DataFrame) -> DataFrame:
 
     content that isn't a string is kept as its JSON text, an absent or null one is null; weights are rounded to FLOAT.
     """
-    cells = parse_cells(lines)
+    cells = cut(parse_cells(lines), "cells")  # read twice: a line is parsed once
 
     def values(col: str):
         return F.transform(F.filter("cells", lambda c: c["col"] == col), lambda c: c["value"])

@@ -54,3 +54,9 @@ def doc_map(records: DataFrame, content: bool = True) -> DataFrame:
 
 def posting_lengths(forward: DataFrame) -> DataFrame:
     return forward.groupBy("component").agg(F.count(F.lit(1)).alias("n_postings"), F.max("w").alias("max_w"))
+
+
+def mean_list_length(postings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """One row: the mean number of postings over all components, those without any included; 0 without components."""
+    total = postings.agg(F.count(F.lit(1)).alias("n"))
+    return tokens.agg(F.count(F.lit(1)).alias("dim")).select(F.coalesce(F.try_divide(total.scalar(), F.col("dim")), F.lit(0.0)).alias("mean_length"))

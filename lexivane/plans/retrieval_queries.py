@@ -92,13 +92,17 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def with_views(sql: str) -> str:
+    return f"with recursive {_VIEWS}\n{sql}"
+
+
 def query(sql: str | None = None) -> Callable[[Callable[[Data], DataFrame]], Callable[[Data], DataFrame]]:
     """Registers a function of Data under its name, with the SQL that gives the same rows."""
 
     def register(f: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(Data(spark, sf_dir))
         if sql:
-            _SQL[f.__name__] = f"with recursive {_VIEWS}\n{sql}"
+            _SQL[f.__name__] = with_views(sql)
         return f
 
     return register

@@ -180,6 +180,12 @@ def features(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return _BUCKET_OF[(data[:-1] << np.uint16(8) | data[1:])[keep]], of[:-1][keep]
 
 
+def _counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """features, with the number of bigrams of each word instead of the word of each: what the fit holds for every chain at once."""
+    bucket, of = features(words)
+    return bucket, np.bincount(of, minlength=len(words)).astype(np.int32)
+
+
 class Model:
     """Multinomial classifier over hashed byte bigrams: class 0 is clean text, the others are chains."""
 
@@ -202,11 +208,11 @@ class Model:
         self.counted = counted
         words = sorted(counted)
         derived: set[str] = set()
-        rows: list[tuple[Chain | None, np.ndarray, np.ndarray]] = [(None, *features(words))]
+        rows: list[tuple[Chain | None, np.ndarray, np.ndarray]] = [(None, *_counted(words))]
         for chain in chains():
             made = garble_all(words, chain)
             derived.update(g for w, g in zip(words, made) if g is not None and len(g) > 2 and g != w and counted[w] > counted.get(g, sys.maxsize))
-            rows.append((chain, *features(["" if g is None or g == w or g.isascii() else g for w, g in zip(words, made)])))
+            rows.append((chain, *_counted(["" if g is None or g == w or g.isascii() else g for w, g in zip(words, made)])))
         # of letters as well, so that these classes are there whatever the sample holds
         base = words + [f"a{chr(c)}e" for c in (*range(0xA1, 0x180), *range(0x410, 0x450))]
         self.lossy = [(name, features(made)[0]) for name, made in lossy(base)]
@@ -217,7 +223,7 @@ class Model:
 
     def _fit(self, words: list[str], without: set[str], rows: list[tuple[Chain | None, np.ndarray, np.ndarray]]) -> None:
         weight = np.array([0.0 if w in without else self.counted[w] for w in words])
-        counts = [(chain, np.bincount(bucket, weights=weight[of] if len(of) else None, minlength=BUCKETS)) for chain, bucket, of in rows]
+        counts = [(chain, np.bincount(bucket, weights=np.repeat(weight, sizes), minlength=BUCKETS)) for chain, bucket, sizes in rows]
         counts = [(chain, n) for chain, n in counts if chain is None or n.any()]
         self.chains = [chain for chain, _ in counts]
         self.names = ["", *("+".join(f"{w}>{r}" for w, r in chain) for chain in self.chains[1:]), *(name for name, _ in self.lossy)]

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivane.functions.packed import binary as _binary
+from lexivane.functions.packed import numbers as _numbers
 from lexivane.llm.hashing import mix
 from lexivane.operators.search import exact_topk
 from lexivane.session import cut
@@ -106,21 +108,6 @@ class Curves:
         return spot >> (self.dims * self.bits + _FALL)
 
 
-def _numbers(column: pa.Array, dtype: str | np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers in a binary column (without nulls), one row's after the other's, and how many each row has."""
-    dtype = np.dtype(dtype)
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(column) and column.buffers()[2] else np.zeros(0, np.uint8)
-    return data.view(dtype), np.diff(ends) // dtype.itemsize
-
-
-def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Numbers as a binary column: sizes of them a row."""
-    ends = np.zeros(len(sizes) + 1, np.int32)
-    np.cumsum(sizes * values.dtype.itemsize, out=ends[1:])
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
-
-
 def _entries(tokens: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, token and weight of each entry of packed vectors."""
     token, sizes = _numbers(tokens, np.uint64)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivane.config import Configuration
 from lexivane.index import PackedIndex, RawIndex, SparseDataset, SparseIndex
-from lexivane.operators import metrics, tuning
+from lexivane.operators import metrics, search, tuning
 from lexivane.sources import records as sources
 
 RECORDS = [
@@ -45,6 +45,20 @@ def test_files_give_the_same_records(spark, folder):
     assert sources.read_pretokenised(spark, str(folder / "pre.json")).first().vector == {"1": 0.5, "2": 1.5}
 
 
+def test_search_without_skipping_pairs_nothing(spark, folder, monkeypatch):
+    """With factor 0 an index searches its lists as wholes: no pair of a query and a record is shuffled, and no summary is read."""
+
+    def refused(*_):
+        raise AssertionError("pairs are shuffled")
+
+    index = SparseIndex.from_file(spark, str(folder / "docs.jsonl"), CONFIG)
+    index.codes = index.codes.withColumn("low", F.raise_error(F.lit("read")).cast("double"))
+    monkeypatch.setattr(search, "score", refused)
+    queries = spark.createDataFrame([("q", {"a": 1.0, "b": 2.0}), ("none", {"z": 1.0})], "id string, vector map<string,double>")
+    got = [tuple(r) for r in index.search_tokens(queries, 2, 1, 0.0).orderBy("rank").collect()]
+    assert got == [("q", "x", 8.0, 1), ("q", "7", 5.0, 2)]
+
+
 def test_index_from_file(spark, folder):
     index = SparseIndex.from_file(spark, str(folder / "docs.jsonl"), CONFIG)
     assert (index.len, index.dim, index.nnz, index.is_empty, index.knn_len) == (4, 4, 8, False, 0)

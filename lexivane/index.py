@@ -68,10 +68,9 @@ class RawIndex:
         """
         config = config or Configuration()
         checked = F.when(F.col("w") < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(F.col("w"))
-        forward = cut(forward.select("rec_no", F.col("component").cast("int").alias("component"), checked.cast("double").alias("w")), "forward")
+        forward = forward.select("rec_no", F.col("component").cast("int").alias("component"), checked.cast("double").alias("w"))
         late = config.value_type in ("fixedu8", "fixedu16", "packed8")
-        if not late:
-            forward = cut(quantise(forward, "w", config.value_type), "forward")
+        forward = cut(forward if late else quantise(forward, "w", config.value_type), "forward")
         if dim is None:
             largest = forward.agg(F.max("component")).first()[0]
             dim = 0 if largest is None else largest + 1
@@ -84,13 +83,15 @@ class RawIndex:
             postings = prune.prune_coi(forward, p.alpha, p.n_postings)
         postings = cut(postings, "postings")
         if b.kind == "fixed":
-            blocks = blocking.block_fixed(postings, b.block_size)
+            blocks = cut(blocking.block_fixed(postings, b.block_size), "blocks")
+            maxima = summaries.block_max(blocks, forward)
+            short = summaries.summary_fixed(maxima, s.n_components) if s.kind == "fixed" else summaries.summary_energy(maxima, s.energy)
+            codes = cut(summaries.quantise_summaries(short), "codes")
         else:
-            blocks = blocking.block_kmeans(postings, forward, b.centroid_fraction, b.min_cluster_size, b.algorithm, b.doc_cut, b.pruning_factor)
-        blocks = cut(blocks, "blocks")
-        maxima = summaries.block_max(blocks, forward)
-        short = summaries.summary_fixed(maxima, s.n_components) if s.kind == "fixed" else summaries.summary_energy(maxima, s.energy)
-        codes = cut(summaries.quantise_summaries(short), "codes")
+            kept_by = (None, s.n_components) if s.kind == "fixed" else (s.energy, 0)
+            both = cut(blocking.summarised_kmeans(postings, forward, b.centroid_fraction, b.min_cluster_size, b.algorithm, b.doc_cut, b.pruning_factor, *kept_by), "clusters")
+            blocks = both.select("component", "block", F.explode("rec_nos").alias("rec_no"))
+            codes = both.select("component", "block", F.explode(F.arrays_zip("c", "code")).alias("e"), "low", "step").select("component", "block", "e.c", "e.code", "low", "step")
         index = cls(forward, postings, blocks, codes, config, None, dim, **kept)
         if late:
             index = index.convert(config.value_type)

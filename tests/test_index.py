@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivane.config import Configuration
 from lexivane.index import PackedIndex, RawIndex, SparseDataset, SparseIndex
-from lexivane.operators import metrics, search, tuning
+from lexivane.operators import metrics, search, summaries, tuning
 from lexivane.sources import records as sources
 
 RECORDS = [
@@ -59,6 +59,17 @@ def test_search_without_skipping_pairs_nothing(spark, folder, monkeypatch):
     assert got == [("q", "x", 8.0, 1), ("q", "7", 5.0, 2)]
 
 
+def test_an_index_shuffles_no_entry_of_a_vector_by_itself_for_summaries(spark, folder, monkeypatch):
+    def refused(*_):
+        raise AssertionError("each entry of each posting is shuffled")
+
+    monkeypatch.setattr(summaries, "block_max", refused)
+    config = Configuration().summarized(energy=1.0).with_value_type("f32")
+    index = SparseIndex.from_file(spark, str(folder / "docs.jsonl"), config)
+    assert sorted(map(tuple, index.codes.where("component = 3").select("c", F.round(F.col("low") + F.col("code") * F.col("step"), 6)).collect())) == [(0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0)]
+    assert index.search("q", ["a", "b"], [1.0, 2.0], 2, 10, 0.9) == [("q", 8.0, "x"), ("q", 5.0, "7")]
+
+
 def test_index_from_file(spark, folder):
     index = SparseIndex.from_file(spark, str(folder / "docs.jsonl"), CONFIG)
     assert (index.len, index.dim, index.nnz, index.is_empty, index.knn_len) == (4, 4, 8, False, 0)

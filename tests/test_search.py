@@ -321,3 +321,74 @@ def test_strict_encoding_and_unknown_tokens(spark):
         vectors.encode(long, tokens, strict=True).collect()
     stats = vectors.corpus_stats(records).first()
     assert (stats.len, stats.dim, stats.nnz, stats.n_empty) == (3, 2, 2, 2)
+
+
+@pytest.mark.parametrize("values", ["eighths", "any", "infinite"])
+def test_best_others_are_those_of_all_products(values):
+    """Near products choose, exact ones decide: the same rows and the same bits as from all products, with ties, in dense and rare components."""
+    rng = np.random.default_rng(5)
+
+    def some(n):
+        rows = [np.unique(np.append(rng.integers(0, 12, 6), 12 + rng.integers(0, 400, 3))) for _ in range(n)]
+        starts = np.append(0, np.cumsum([len(r) for r in rows]))
+        w = rng.integers(1, 9, starts[-1]) / 8 if values == "eighths" else rng.random(starts[-1]) * 10.0 ** rng.integers(-40, 40, starts[-1])
+        if values == "infinite":
+            w[::50] = np.inf
+        return packed.Vectors(starts, np.concatenate(rows).astype(np.int32), w)
+
+    for n, m, k in ((200, 150, 5), (3, 40, 5), (1, 1, 2)):
+        d, q, ids = some(n), some(m), rng.permutation(n)
+        want, every = [], np.concatenate([s for _, s in q.products(d)])
+        for i, row in enumerate(every):
+            want += [(i, j, row[j]) for j in np.lexsort((ids, -row))[:k]]
+        got = [x for row, col, score in q.best(d, ids, k) for x in zip(row, col, score)]
+        assert got == want
+        rows, cols = np.divmod(np.arange(m * n), n)
+        assert values == "infinite" or q.dots(rows, d, cols).tolist() == every.ravel().tolist()
+
+
+@pytest.mark.parametrize(("few", "together"), [(0, 0), (0, 10**6), (10**6, 10**6), (4, 30)])
+def test_short_lists_are_searched_together(spark, monkeypatch, few, together):
+    docs, queries = collection(11, n=120)
+    forward, asked = frames(spark, docs, queries)
+    postings = prune.prune_fixed(forward, 25)
+    monkeypatch.setattr(search, "_FEW", few)
+    monkeypatch.setattr(search, "_TOGETHER", together)
+    monkeypatch.setattr(search, "_VISITORS", 2)
+    lists = defaultdict(set)
+    for r in postings.collect():
+        lists[r.component].add(r.rec_no)
+    want = {}
+    for q, v in queries.items():
+        near = set().union(*(lists[c] for c, _ in sorted(v.items(), key=lambda x: (-x[1], x[0]))[:3]))
+        want[q] = sorted(((r, dot(v, docs[r])) for r in near), key=lambda x: (-x[1], x[0]))[:4]
+    assert as_lists(search.candidate_topk(asked, postings, forward, 4, 3)) == {q: h for q, h in want.items() if h}
+
+
+@pytest.mark.parametrize(("algorithm", "kept", "short"), [("approx", (0.4, 0), 256), ("approx", (None, 2), 8), ("exact", (0.7, 0), 0), ("inverted", (None, 3), 8)])
+def test_lists_are_clustered_and_summed_up_in_one_task(spark, monkeypatch, algorithm, kept, short):
+    """The same blocks and codes as step by step."""
+    docs, _ = collection(3, n=150)
+    forward, _ = frames(spark, docs, {"q": {0: 1.0}})
+    postings = prune.prune_fixed(forward.where("component > 0 or rec_no < 6"), 40)
+    monkeypatch.setattr(blocks, "_SHORT", short)
+    both = cut(blocks.summarised_kmeans(postings, forward, 0.2, 1, algorithm, 3, 0.1, *kept), "both")
+    stepwise = cut(blocks.block_kmeans(postings, forward, 0.2, 1, algorithm, 3, 0.1), "stepwise")
+    got = both.select("component", "block", F.explode("rec_nos").alias("rec_no"))
+    assert sorted(got.collect()) == sorted(stepwise.collect())
+    maxima = summaries.block_max(stepwise, forward)
+    codes = summaries.quantise_summaries(summaries.summary_fixed(maxima, kept[1]) if kept[0] is None else summaries.summary_energy(maxima, kept[0]))
+    got = both.select("component", "block", F.explode(F.arrays_zip("c", "code")).alias("e"), "low", "step").select("component", "block", "e.c", "e.code", "low", "step")
+    assert sorted(got.collect()) == sorted(codes.collect()) and got.schema.simpleString() == codes.schema.simpleString()
+
+
+@pytest.mark.parametrize("algorithm", ["approx", "exact"])
+def test_near_products_choose_the_same_centroids(monkeypatch, algorithm):
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(90)]
+    whole = packed.Vectors(np.arange(91) * 8, np.concatenate(rows).astype(np.int32), rng.integers(0, 5, 720) / 4)
+    center, found = rng.permutation(90)[:25], []
+    for small in (10**9, 0):
+        monkeypatch.setattr(blocks, "_SMALL", small)
+        found.append(blocks._assigned(whole, center, algorithm, 2, 5, 0.1, False))
+    assert all(np.array_equal(a, b) for a, b in zip(*found)) and len(np.unique(found[0][1])) > 1
